@@ -54,4 +54,4 @@ def next_start(local: Column, weekday: Column, start: Column, weeks_of_month: Co
         lambda d: _in_weeks(d, weeks_of_month) & ((d > today) | (start > F.date_format(local, "HH:mm"))),
     )
     day = F.try_element_at(later, F.lit(1))
-    return F.to_timestamp_ntz(F.concat_ws(" ", day.cast("string"), start), F.lit("yyyy-MM-dd HH:mm"))
+    return F.concat(day.cast("string"), F.lit(" "), start).try_cast("timestamp_ntz")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +21,47 @@ def _feed_source(name: str) -> str:
     return source_id(DEFINITIONS[name][0])
 
 
-@dataclass(frozen=True)
+@dataclass
 class CityPlan:
-    """Unwritten results of an import; nothing runs until one of them is used."""
+    """Feeds to normalized locations in one lineage, for dry runs and reports.
 
-    mapped_meters: DataFrame
-    meters: DataFrame
-    blocks: DataFrame
-    matched_regulations: DataFrame
-    locations: DataFrame
+    Each result is planned when first asked for and never run by itself.
+    """
+
+    meter_feed: DataFrame
+    block_feed: DataFrame
+    regulation_feed: DataFrame
+    sources: DataFrame
+    at: Column
+
+    @cached_property
+    def mapped_meters(self) -> DataFrame:
+        return ingest.map_meters(self.meter_feed, _feed_source("meters"), self.at)
+
+    @cached_property
+    def imported_blocks(self) -> DataFrame:
+        return ingest.block_rows(ingest.map_blocks(self.block_feed, _feed_source("blocks"), self.at))
+
+    @cached_property
+    def matched_regulations(self) -> DataFrame:
+        return ingest.match_regulations(ingest.map_regulations(self.regulation_feed), self.imported_blocks)
+
+    @cached_property
+    def blocks(self) -> DataFrame:
+        return ingest.merge_regulations(self.imported_blocks, self.matched_regulations, self.at)
+
+    @cached_property
+    def meter_rows(self) -> DataFrame:
+        return ingest.meter_rows(self.mapped_meters)
+
+    @cached_property
+    def meters(self) -> DataFrame:
+        return ingest.attach_blocks(self.meter_rows, self.imported_blocks)
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        """Does not depend on blocks: a location carries no block id."""
+        return normalize.normalize(self.meter_rows, self.sources, self.at)
 
     def quality(self) -> DataFrame:
         return verify_locations(self.locations)
@@ -37,27 +70,6 @@ class CityPlan:
         return skip_counts(self.mapped_meters, ingest.METER_SKIPS)
 
 
-def city_plan(
-    meter_feed: DataFrame,
-    block_feed: DataFrame,
-    regulation_feed: DataFrame,
-    sources: DataFrame,
-    at: Column,
-) -> CityPlan:
-    """Feeds to normalized locations in one lineage, for dry runs and reports."""
-    blocks = ingest.block_rows(ingest.map_blocks(block_feed, _feed_source("blocks"), at))
-    matched = ingest.match_regulations(ingest.map_regulations(regulation_feed), blocks)
-    mapped = ingest.map_meters(meter_feed, _feed_source("meters"), at)
-    meters = ingest.attach_blocks(ingest.meter_rows(mapped), blocks)
-    return CityPlan(
-        mapped_meters=mapped,
-        meters=meters,
-        blocks=ingest.merge_regulations(blocks, matched, at),
-        matched_regulations=matched,
-        locations=normalize.normalize(meters, sources, at),
-    )
-
-
 def import_audit(
     upserted: DataFrame, mapped: DataFrame, source: str, dataset: str, target: str, started_at: Column, finished_at: Column
 ) -> DataFrame:

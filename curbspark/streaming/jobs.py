@@ -35,23 +35,24 @@ def change_feed_writer(
 
 
 def current_spots(
-    spark: SparkSession, snapshot: DataFrame, out: str, key: str = "id", after: int = -1
+    spark: SparkSession, snapshot: DataFrame, out: str, key: str = "id", compacted: str | None = None, after: int = -1
 ) -> DataFrame:
-    """Snapshot plus every folded batch later than `after`."""
-    return apply_fold(snapshot, merge_folds(read_batches(spark, out, after), key), key)
+    """Snapshot plus every folded batch, or plus a compacted fold and the batches after it."""
+    folds = read_batches(spark, out, after).drop("batch_id")
+    if compacted:
+        folds = spark.read.parquet(compacted).unionByName(folds)
+    return apply_fold(snapshot, merge_folds(folds, key), key)
 
 
-def compact_spots(
-    spark: SparkSession, snapshot: DataFrame, out: str, target: str, upto: int, key: str = "id"
-) -> DataFrame:
-    """Write snapshot plus batches up to `upto` as a new snapshot and return it.
+def compact_changes(spark: SparkSession, out: str, target: str, upto: int, key: str = "id") -> None:
+    """Write the folds of all batches up to `upto` as one, for `current_spots`.
 
-    Later reads start from it with `after=upto`.  A failed run leaves no
-    success marker and is simply repeated; the old snapshot stays valid.
+    It stays a fold, with positions, and is not applied to the snapshot: a
+    change that arrives late can still fall before ones already compacted.
+    A failed run leaves no success marker and is simply repeated.
     """
-    done = read_batches(spark, out).where(F.col("batch_id") <= upto)
-    apply_fold(snapshot, merge_folds(done, key), key).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(target)
+    done = read_batches(spark, out).where(F.col("batch_id") <= upto).drop("batch_id")
+    merge_folds(done, key).write.mode("overwrite").parquet(target)
 
 
 def report_writer(reports: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:

@@ -202,14 +202,14 @@ _SIGNUPS = (
 )
 _RANKED = (
     "SELECT *, row_number() OVER (PARTITION BY email ORDER BY seq) AS nth,"
-    " email IN (SELECT 'user' || point_id || '@example.com' FROM points) AS taken FROM signups WHERE is_valid"
+    " email IN (SELECT 'user' || id || '@example.com' FROM zones) AS taken FROM signups WHERE is_valid"
 )
 oracle(
-    "waitlist_accepted", "waitlist_raw points",
+    "waitlist_accepted", "waitlist_raw zones",
     "SELECT seq, email, full_name, interest FROM ranked WHERE nth = 1 AND NOT taken", signups=_SIGNUPS, ranked=_RANKED,
 )
 oracle(
-    "waitlist_already", "waitlist_raw points",
+    "waitlist_already", "waitlist_raw zones",
     "SELECT seq, email FROM ranked WHERE nth > 1 OR taken", signups=_SIGNUPS, ranked=_RANKED,
 )
 oracle(

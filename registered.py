@@ -21,6 +21,7 @@ from curbspark.operators import (
     spot_admin,
 )
 from curbspark.operators.latest import latest_per_key
+from curbspark.operators.once import evaluate_once
 from curbspark.operators.radius_join import radius_join
 from curbspark.operators.upsert import insert_if_absent, upsert
 from curbspark.plans import city, ingest, normalize, rules
@@ -262,7 +263,9 @@ def event_rollup(spark, d):
 
 @query
 def event_payload_keys(spark, d):
-    events = view(spark, d, "analytics_events").withColumn("event_payload", sanitize_payload(F.col("event_payload")))
+    events = evaluate_once(
+        view(spark, d, "analytics_events"), ["id"], event_payload=sanitize_payload(F.col("event_payload"))
+    )
     keyed = events.select("id", F.explode(F.json_object_keys("event_payload")).alias("payload_key"), "event_payload")
     return keyed.select("id", "payload_key", F.get_json_object("event_payload", "$.k").alias("k"))
 
@@ -292,7 +295,7 @@ def waitlist_invalid(spark, d):
 
 def _waitlist(spark, d):
     raw = view(spark, d, "waitlist_raw")
-    taken = view(spark, d, "points").select(F.concat(F.lit("user"), "point_id", F.lit("@example.com")).alias("email"))
+    taken = view(spark, d, "zones").select(F.concat(F.lit("user"), "id", F.lit("@example.com")).alias("email"))
     return accounts.join_waitlist(taken, raw, ["seq"])
 
 
@@ -331,7 +334,7 @@ def _sources(spark) -> DataFrame:
 
 
 def _plan(spark, d) -> city.CityPlan:
-    return city.city_plan(
+    return city.CityPlan(
         view(spark, d, "meter_feed"), view(spark, d, "block_feed"), view(spark, d, "regulation_feed"), _sources(spark), imported()
     )
 
@@ -392,7 +395,7 @@ def regulation_match_counts(spark, d):
 
 
 def _clean(spark, d) -> DataFrame:
-    return normalize.clean_meters(_plan(spark, d).meters, _sources(spark))
+    return normalize.clean_meters(_plan(spark, d).meter_rows, _sources(spark))
 
 
 @query
@@ -405,7 +408,7 @@ def meters_clean(spark, d):
 
 @query
 def meters_embedded_source(spark, d):
-    joined = normalize.with_source(_plan(spark, d).meters, _sources(spark))
+    joined = normalize.with_source(_plan(spark, d).meter_rows, _sources(spark))
     return joined.select(
         "external_id", F.col("source.provider").alias("provider"), F.col("source.display_name").alias("display_name")
     )
@@ -444,7 +447,7 @@ def location_provenance(spark, d):
 @query
 def normalize_counts(spark, d):
     plan = _plan(spark, d)
-    mapped = normalize.map_locations(normalize.with_source(plan.meters, _sources(spark)), imported())
+    mapped = normalize.map_locations(normalize.with_source(plan.meter_rows, _sources(spark)), imported())
     return counts.skip_counts(mapped, normalize.NORMALIZE_SKIPS)
 
 
@@ -525,7 +528,7 @@ def source_registry(spark, d):
     registered = registry.register_sources(known, registry.source_rows(spark, names), imported())
     written = {
         "blocks": plan.blocks.agg(F.count(F.lit(1)).alias("last_row_count")),
-        "meters": plan.meters.agg(F.count(F.lit(1)).alias("last_row_count")),
+        "meters": plan.meter_rows.agg(F.count(F.lit(1)).alias("last_row_count")),
         "regulations": ingest.match_counts(plan.matched_regulations).select(F.col("matched").alias("last_row_count")),
     }
     rows = [written[n].select(F.lit(registry.source_id(registry.DEFINITIONS[n][0])).alias("id"), "last_row_count") for n in names]

@@ -15,11 +15,11 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests",
         master="local[8]",
-        shuffle_partitions=8,
+        shuffle_partitions=4,
         **{
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.driver.memory": "6g",
-            "spark.sql.sources.parallelPartitionDiscovery.parallelism": "8",
+            "spark.ui.showConsoleProgress": "false",
         },
     )
     session.sparkContext.setLogLevel("ERROR")
