@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curbspark.operators.skew import lookup_join
+
 OPS = ("INSERT", "UPDATE", "DELETE")
 
 
@@ -78,14 +80,18 @@ def apply_changes(
     return apply_fold(snapshot, fold_changes(feed, key, order), key)
 
 
-def update_messages(operations: DataFrame, spots: DataFrame, key: str = "id") -> DataFrame:
+def update_messages(operations: DataFrame, spots: DataFrame, key: str = "id", **join_options) -> DataFrame:
     """Typed messages: CREATE, UPDATE and AVAILABILITY_UPDATE carry the spot.
 
     DELETE carries the id only.  Messages about spots that do not exist are
-    not sent.  Works for a streaming `operations` too.
+    not sent.  A streaming `operations` is joined batch by batch as it is; in
+    a table one spot may have most of the operations, so that join is salted.
     """
     embedded = spots.select(key, F.struct(*spots.columns).alias("spot"))
-    joined = operations.select(key, "update_type").join(embedded, key, "left")
+    if operations.isStreaming:
+        joined = operations.join(embedded, key, "left")
+    else:
+        joined = lookup_join(operations, embedded, [key], "left", salt_by=operations.columns, **join_options)
     is_delete = F.col("update_type") == "DELETE"
     return joined.where(is_delete | F.col("spot").isNotNull()).select(
         "update_type", key, F.when(~is_delete, F.col("spot")).alias("spot")

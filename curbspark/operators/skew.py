@@ -50,6 +50,7 @@ def lookup_join(
     *,
     salt_by: list[str],
     condition: Column | None = None,
+    lookup_bytes: int | None = None,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
@@ -58,13 +59,15 @@ def lookup_join(
 
     `salt_by` names columns of `facts` that differ between rows of one key;
     hashing them keeps retried tasks on the same rows.  `condition` is an
-    extra filter for inner joins.
+    extra filter for inner joins.  `lookup_bytes` replaces Catalyst's estimate
+    where the lookup explodes its rows, which the estimate does not see.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"join kind {how} keeps lookup rows and cannot be salted")
     if condition is not None and how != "inner":
         raise ValueError("an extra condition is for inner joins")
-    if plan_bytes(lookup) <= max_broadcast_bytes:
+    size = plan_bytes(lookup) if lookup_bytes is None else lookup_bytes
+    if size <= max_broadcast_bytes:
         joined = facts.join(F.broadcast(lookup), keys, how)
     else:
         joined = _salted(facts, lookup, keys, how, salt_by, hot_rows, salts)

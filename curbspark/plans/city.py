@@ -15,6 +15,7 @@ from curbspark.operators.upsert import CHANGE, upsert
 from curbspark.plans import ingest, normalize
 from curbspark.sources.feed import limit_rows, select_datasets
 from curbspark.sources.registry import DEFINITIONS, source_id
+from curbspark.sources.tables import write_located
 
 
 def _feed_source(name: str) -> str:
@@ -182,6 +183,11 @@ def run_import(
         merged = upsert(
             tables["locations"], locations, ["source_type", "source_id"], at=at, keep=["id"], defaults={"created_at": at}
         )
-        results["tables.locations"] = staged(merged, "locations")
+        if dry_run:
+            results["tables.locations"] = merged
+        else:
+            path = f"{out.rstrip('/')}/locations"
+            write_located(merged, path)
+            results["tables.locations"] = spark.read.parquet(path)
         results["quality"] = verify_locations(results["tables.locations"])
     return results

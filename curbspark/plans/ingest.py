@@ -96,7 +96,8 @@ def map_meters(feed: DataFrame, source_id: str, imported_at: Column) -> DataFram
     )
     lat, lng = parse_point(F.col("lat"), F.col("lng"), F.col("pair"), F.col("location"))
     kept = [c for c in picked.columns if c not in ("location", "lat", "lng", "pair")]
-    placed = evaluate_once(picked, kept, latitude=lat, longitude=lng)
+    # The source id is a row value here: as a literal it would be folded out of later joins and groupings.
+    placed = evaluate_once(picked, kept, source_id=F.lit(source_id), latitude=lat, longitude=lng)
     on_globe = valid_coordinate(F.col("latitude"), F.col("longitude"))
     skip_reason = (
         F.when(~on_globe & F.col("has_plain"), INVALID_COORDINATES)
@@ -104,7 +105,7 @@ def map_meters(feed: DataFrame, source_id: str, imported_at: Column) -> DataFram
         .when(F.col("meter_id").isNull(), MISSING_METER_ID)
     )
     return placed.select(
-        F.lit(source_id).alias("source_id"),
+        "source_id",
         "feed_pos",
         F.col("meter_id").alias("external_id"),
         F.coalesce("own_post_id", "meter_id").alias("post_id"),
@@ -144,6 +145,7 @@ def map_blocks(feed: DataFrame, source_id: str, imported_at: Column) -> DataFram
             feed, names.BLOCK_FIELDS, names.LATITUDE + names.LONGITUDE + names.SPACES, ["feed_pos", "raw"]
         ),
         ["feed_pos", "raw"],
+        source_id=F.lit(source_id),
         blockface_id=first_of("text", names.BLOCK_BLOCKFACE),
         external_id=F.coalesce(
             first_of("text", names.BLOCK_ID + names.BLOCK_BLOCKFACE), F.concat(F.lit("row-"), row_key)
@@ -157,7 +159,7 @@ def map_blocks(feed: DataFrame, source_id: str, imported_at: Column) -> DataFram
     )
     spaces = F.col("spaces")
     return picked.select(
-        F.lit(source_id).alias("source_id"),
+        "source_id",
         "feed_pos",
         "external_id",
         "blockface_id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curbspark.functions.geo import valid_coordinate
 from curbspark.functions.text import non_blank, trim_blanks
 from curbspark.operators.latest import latest_per_key
+from curbspark.operators.once import evaluate_once
 from curbspark.operators.skew import lookup_join
 from curbspark.plans.ingest import row_id
 
@@ -96,29 +97,39 @@ def provenance() -> Column:
 
 def map_locations(meters_with_source: DataFrame, synced_at: Column) -> DataFrame:
     """Every meter as a location with `skip_reason`, null where it is usable."""
-    source_id = F.coalesce(non_blank(F.col("post_id")), non_blank(F.col("external_id")))
+    mapped = evaluate_once(
+        meters_with_source,
+        ["latitude", "longitude", "external_id"],
+        source_type=F.lit(SOURCE_TYPE),
+        source_id=F.coalesce(non_blank(F.col("post_id")), non_blank(F.col("external_id"))),
+        address=address_line(F.col("street_num"), F.col("street_name")),
+        active=is_active(F.col("active_meter_flag")),
+        restrictions=restriction_text(
+            cap_color=F.col("cap_color"),
+            location=F.col("on_offstreet_type"),
+            jurisdiction=F.col("jurisdiction"),
+            meter_type=F.col("meter_type"),
+        ),
+        raw_source=provenance(),
+        last_synced_at=F.coalesce("imported_at", synced_at),
+    )
     on_globe = valid_coordinate(F.col("latitude"), F.col("longitude"))
-    return meters_with_source.select(
-        F.lit(SOURCE_TYPE).alias("source_type"),
-        source_id.alias("source_id"),
+    return mapped.select(
+        "source_type",
+        "source_id",
         "latitude",
         "longitude",
-        address_line(F.col("street_num"), F.col("street_name")).alias("address"),
+        "address",
         F.lit("METERED").alias("parking_type"),
         F.lit(None).cast("string").alias("time_limit"),
-        is_active(F.col("active_meter_flag")).alias("active"),
-        restriction_text(
-            cap_color=F.col("cap_color"),
-            location=F.col("on_offstreet_type"),
-            jurisdiction=F.col("jurisdiction"),
-            meter_type=F.col("meter_type"),
-        ).alias("restrictions"),
+        "active",
+        "restrictions",
         F.lit(CITY).alias("city"),
-        provenance().alias("raw_source"),
-        F.coalesce("imported_at", synced_at).alias("last_synced_at"),
+        "raw_source",
+        "last_synced_at",
         synced_at.alias("updated_at"),
         F.col("external_id").alias("_external_id"),
-        F.when(source_id.isNull(), SKIP_SOURCE_ID).when(~on_globe, SKIP_COORDINATES).alias("skip_reason"),
+        F.when(F.col("source_id").isNull(), SKIP_SOURCE_ID).when(~on_globe, SKIP_COORDINATES).alias("skip_reason"),
     )
 
 

@@ -15,6 +15,7 @@ from curbspark.operators.skew import lookup_join
 ANCHOR_METERS = 25
 NO_PARKING = "NO_PARKING"
 ZONE_CELL_DEGREES = 0.02
+_POINT_BYTES, _ZONE_BYTES = 40, 64
 
 
 def spot_rules(spots: DataFrame, rules: DataFrame, anchor_meters: float = ANCHOR_METERS, **join_options) -> DataFrame:
@@ -134,24 +135,30 @@ def zones_of_points(
 
     `zones.ring` is a closed array of (lat, lng).  Zones are listed under each
     grid cell of their bounding box, spots under their own cell, so only zones
-    of the cell are tested.  A crowded cell is salted.
+    of the cell are tested.  A crowded cell is salted.  A large zone is listed
+    many times, so the list is measured, by an aggregate over the zones alone,
+    before it may be broadcast.
     """
     lats, lngs = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lng"])
 
     def cell(degrees: Column) -> Column:
         return F.floor(degrees / cell_degrees)
 
+    bounded = zones.where("is_active").select(
+        F.col("id").alias("zone_id"),
+        "ring",
+        cell(F.array_min(lats)).alias("_south"),
+        cell(F.array_max(lats)).alias("_north"),
+        cell(F.array_min(lngs)).alias("_west"),
+        cell(F.array_max(lngs)).alias("_east"),
+    )
+    cells = (F.col("_north") - F.col("_south") + 1) * (F.col("_east") - F.col("_west") + 1)
+    ring_bytes = F.size("ring") * _POINT_BYTES + _ZONE_BYTES
+    listed_bytes = bounded.agg(F.coalesce(F.sum(cells * ring_bytes), F.lit(0))).first()[0]
     listed = (
-        zones.where("is_active")
-        .select(
-            F.col("id").alias("zone_id"),
-            "ring",
-            F.explode(F.sequence(cell(F.array_min(lats)), cell(F.array_max(lats)))).alias("_row"),
-            cell(F.array_min(lngs)).alias("_west"),
-            cell(F.array_max(lngs)).alias("_east"),
-        )
+        bounded.withColumn("_row", F.explode(F.sequence("_south", "_north")))
         .withColumn("_cell", F.explode(F.sequence("_west", "_east")))
-        .drop("_west", "_east")
+        .drop("_south", "_north", "_west", "_east")
     )
     placed = spots.select(
         F.col("id").alias("spot_id"),
@@ -167,6 +174,7 @@ def zones_of_points(
         "inner",
         salt_by=["spot_id"],
         condition=in_ring(F.col("latitude"), F.col("longitude"), F.col("ring")),
+        lookup_bytes=int(listed_bytes),
         **join_options,
     ).select("spot_id", "zone_id")
 

@@ -17,6 +17,22 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     return table.select(*columns) if columns else table
 
 
+def write_located(df: DataFrame, path: str, key: str = "id", cell_degrees: float = 0.01) -> None:
+    """Write a table with coordinates so that box searches skip most files.
+
+    Rows are range-partitioned and sorted by grid cell, which makes the
+    latitude and longitude bounds of files and row groups narrow.  The key
+    ends the order, so a cell of any size can be split.
+    """
+    row, column = F.floor(F.col("latitude") / cell_degrees), F.floor(F.col("longitude") / cell_degrees)
+    (
+        df.repartitionByRange(row, column, F.col(key))
+        .sortWithinPartitions(row, column, F.col(key))
+        .write.mode("overwrite")
+        .parquet(path)
+    )
+
+
 def with_utc_time(table: DataFrame) -> DataFrame:
     """Timestamps without zone read as UTC instants, as streams and watermarks need."""
     casts = {
@@ -28,10 +44,15 @@ def with_utc_time(table: DataFrame) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> bool:
-    """Append to the event log by day; a failure is logged and never raised."""
+    """Append to the event log by day; a failure is logged and never raised.
+
+    The rebalance hint gathers a day's rows into few files and splits a day
+    that is too large for one task.
+    """
     try:
         (
             events.withColumn("event_date", F.to_date("created_at"))
+            .hint("rebalance", "event_date")
             .write.mode("append")
             .partitionBy("event_date")
             .parquet(path)
