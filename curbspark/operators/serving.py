@@ -243,3 +243,8 @@ def first_nearby(
     """First spots of a circle in key order, for a dashboard."""
     found = within_radius(spots, lat, lng, radius_meters / geo.METERS_PER_MILE, clip_box=False)
     return found.orderBy(key).limit(limit)
+
+
+def first_available(spots: DataFrame, limit: int = FIRST_SPOTS, key: str = "id") -> DataFrame:
+    """First available spots in key order, for when there is no nearby search."""
+    return available_only(spots).orderBy(key).limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +14,14 @@ from curbspark.operators.quality import verify_locations
 from curbspark.operators.upsert import CHANGE, upsert
 from curbspark.plans import ingest, normalize
 from curbspark.sources.feed import limit_rows, select_datasets
-from curbspark.sources.registry import DEFINITIONS, source_id
+from curbspark.sources.registry import (
+    DEFINITIONS,
+    PROVIDER,
+    record_imports,
+    register_sources,
+    source_id,
+    source_rows,
+)
 from curbspark.sources.tables import write_located
 
 
@@ -125,6 +132,27 @@ def schema_drift(feed: DataFrame, expected: Iterable[str]) -> DataFrame:
     )
 
 
+class _Stage:
+    """Writes each step of an import once and reads it back, or neither when dry.
+
+    Rows, rejects and counters then come from the written step: the parse is
+    not repeated for each of them, and a lost executor costs no earlier step.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, dry_run: bool) -> None:
+        self.spark, self.out, self.dry_run = spark, out.rstrip("/"), dry_run
+
+    def keep(self, df: DataFrame, name: str, located: bool = False) -> DataFrame:
+        if self.dry_run:
+            return df
+        path = f"{self.out}/{name}"
+        if located:
+            write_located(df, path)
+        else:
+            df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
 def run_import(
     spark: SparkSession,
     feeds: dict[str, DataFrame],
@@ -134,60 +162,86 @@ def run_import(
     only: Iterable[str] | None = None,
     limit: int | None = None,
     dry_run: bool = False,
+    expected: dict[str, Iterable[str]] | None = None,
 ) -> dict[str, DataFrame]:
-    """Import the chosen feeds and return counters; write tables unless dry.
+    """Import the chosen feeds in order; returns tables, counters and audit rows.
 
-    `feeds` has blocks, meters and regulations; `tables` the current blocks,
-    meters and locations.  Each mapped feed is written once under `out` and
-    read back, so the parse is not repeated for rows, rejects and counters,
-    and a lost executor never sets off the parse of the whole feed again.
+    `feeds` has blocks, meters and regulations; `tables` the current sources,
+    blocks, meters and locations.  The result has the next state of each as
+    `tables.<name>`, counters as `counts.<feed>`, an audit row per keyed write
+    as `audit.<feed>` and the verdict on the locations as `quality`.  Tables
+    are written under `out`, which must differ from where the current ones
+    lie; a dry run writes nothing.
+
+    With `expected` field names a feed whose fields have changed is not
+    imported: its last good data stay, and `drift.<feed>` says what changed.
     """
-    chosen = select_datasets(only)
+    stage = _Stage(spark, out, dry_run)
     results: dict[str, DataFrame] = {}
-    blocks, meters = tables["blocks"], tables["meters"]
-
-    def staged(df: DataFrame, name: str) -> DataFrame:
-        if dry_run:
-            return df
-        path = f"{out.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-
-    if "blocks" in chosen:
-        mapped = staged(
-            ingest.map_blocks(limit_rows(feeds["blocks"], limit), _feed_source("blocks"), at), "stage/blocks"
+    state = dict(tables)
+    written: list[DataFrame] = []
+    chosen = []
+    for name in select_datasets(only):
+        if expected and name in expected:
+            drift = schema_drift(feeds[name], expected[name])
+            if drift.first().drifted:
+                results[f"drift.{name}"] = drift
+                continue
+        chosen.append(name)
+
+    def feed(name: str) -> DataFrame:
+        return limit_rows(feeds[name], limit)
+
+    def written_rows(name: str, rows: DataFrame) -> None:
+        written.append(rows.select(F.lit(_feed_source(name)).alias("id"), "last_row_count"))
+
+    def keyed_write(name: str, rows: DataFrame, mapped: DataFrame) -> None:
+        keys = ["source_id", "external_id"]
+        merged = upsert(state[name], rows, keys, at=at, keep=["id"], with_change=True)
+        merged = stage.keep(merged, name)
+        state[name] = merged.drop(CHANGE)
+        results[f"audit.{name}"] = import_audit(
+            merged, mapped, PROVIDER, DEFINITIONS[name][2], f"city_parking_{name}", at, at
         )
-        blocks = staged(
-            upsert(blocks, ingest.block_rows(mapped), ["source_id", "external_id"], at=at, keep=["id"]), "blocks"
+        written_rows(
+            name, merged.agg(F.count_if(F.col(CHANGE) != "unchanged").alias("last_row_count"))
         )
-        results["blocks"] = skip_counts(mapped, (ingest.INVALID_SPACES,))
+
+    if "blocks" in chosen:
+        mapped = stage.keep(ingest.map_blocks(feed("blocks"), _feed_source("blocks"), at), "stage/blocks")
+        results["counts.blocks"] = skip_counts(mapped, (ingest.INVALID_SPACES,))
+        keyed_write("blocks", ingest.block_rows(mapped), mapped)
     if "meters" in chosen:
-        mapped = staged(
-            ingest.map_meters(limit_rows(feeds["meters"], limit), _feed_source("meters"), at), "stage/meters"
-        )
-        rows = ingest.attach_blocks(ingest.meter_rows(mapped), blocks)
-        meters = staged(upsert(meters, rows, ["source_id", "external_id"], at=at, keep=["id"]), "meters")
-        results["meters"] = skip_counts(mapped, ingest.METER_SKIPS)
+        mapped = stage.keep(ingest.map_meters(feed("meters"), _feed_source("meters"), at), "stage/meters")
+        results["counts.meters"] = skip_counts(mapped, ingest.METER_SKIPS)
+        keyed_write("meters", ingest.attach_blocks(ingest.meter_rows(mapped), state["blocks"]), mapped)
     if "regulations" in chosen:
-        matched = staged(
-            ingest.match_regulations(
-                ingest.map_regulations(limit_rows(feeds["regulations"], limit)), blocks
-            ),
-            "stage/regulations",
+        matched = ingest.match_regulations(ingest.map_regulations(feed("regulations")), state["blocks"])
+        matched = stage.keep(matched, "stage/regulations")
+        state["blocks"] = stage.keep(
+            ingest.merge_regulations(state["blocks"], matched, at), "blocks_with_regulations"
+        )
+        results["counts.regulations"] = ingest.match_counts(matched)
+        written_rows(
+            "regulations", results["counts.regulations"].select(F.col("matched").alias("last_row_count"))
         )
-        blocks = staged(ingest.merge_regulations(blocks, matched, at), "blocks_regulated")
-        results["regulations"] = ingest.match_counts(matched)
-    results["tables.blocks"], results["tables.meters"] = blocks, meters
-    if "meters" in chosen and "sources" in tables:
-        locations = normalize.normalize(meters, tables["sources"], at)
+    registered = register_sources(state["sources"], source_rows(spark, chosen), at) if chosen else state["sources"]
+    if written:
+        registered = record_imports(registered, reduce(DataFrame.unionByName, written), at)
+    state["sources"] = stage.keep(registered, "sources")
+    if "meters" in chosen:
+        mapped = normalize.map_locations(normalize.with_source(state["meters"], state["sources"]), at)
+        mapped = stage.keep(mapped, "stage/locations")
+        results["counts.locations"] = skip_counts(mapped, normalize.NORMALIZE_SKIPS)
         merged = upsert(
-            tables["locations"], locations, ["source_type", "source_id"], at=at, keep=["id"], defaults={"created_at": at}
+            state["locations"],
+            normalize.location_rows(mapped),
+            ["source_type", "source_id"],
+            at=at,
+            keep=["id"],
+            defaults={"created_at": at},
         )
-        if dry_run:
-            results["tables.locations"] = merged
-        else:
-            path = f"{out.rstrip('/')}/locations"
-            write_located(merged, path)
-            results["tables.locations"] = spark.read.parquet(path)
-        results["quality"] = verify_locations(results["tables.locations"])
+        state["locations"] = stage.keep(merged, "locations", located=True)
+        results["quality"] = verify_locations(state["locations"])
+    results.update({f"tables.{name}": df for name, df in state.items()})
     return results

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from curbspark.functions.payload import sanitize_payload
 from curbspark.operators.changes import apply_fold, fold_changes, merge_folds, update_messages
 from curbspark.operators.latest import latest_per_key
-from curbspark.operators.reports import latest_status, set_status
+from curbspark.operators.reports import fresh_status, latest_status, set_status
 from curbspark.sources.tables import read_batches, write_batch
 
 
@@ -72,6 +72,20 @@ def spots_with_reports(
     return set_status(spots, latest_per_key(batches, ["parking_spot_id"], ["created_at", "id"]), at)
 
 
+def fresh_spots(
+    spark: SparkSession, spots: DataFrame, out: str, now: Column, ttl_minutes: int = 20, after: int = -1
+) -> DataFrame:
+    """Spots with the status of reports young enough at `now`, else UNKNOWN.
+
+    Decay depends on the latest report and the clock alone, so it is worked
+    out when read; the stream needs no timers.  `now` must not lie before the
+    reports already taken in, as a batch keeps only the latest one per spot;
+    for a moment in the past use `fresh_status` over the report table.
+    """
+    batches = read_batches(spark, out, after).drop("batch_id").withColumn("user_id", F.lit(0))
+    return fresh_status(spots, batches, now, ttl_minutes)
+
+
 def message_stream(operations: DataFrame, spots: DataFrame, key: str = "id") -> DataFrame:
     """Stream of typed update messages, each with its spot."""
     return update_messages(operations, spots, key)

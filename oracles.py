@@ -122,6 +122,7 @@ oracle(
     f"SELECT id, address, available, round({DIST}, 6) AS distance_miles FROM archive_spots"
     f" WHERE {DIST} <= 2000 / 1609.344e0 ORDER BY id LIMIT 6",
 )
+oracle("dashboard_first_available", "archive_spots", "SELECT * FROM archive_spots WHERE available ORDER BY id LIMIT 6")
 oracle(
     "radius_join_pairs", "spots points",
     f"SELECT point_id, id, round(distance, 6) AS distance_miles FROM pairs WHERE distance <= {MILES}",
@@ -472,14 +473,18 @@ _REASON = (
 )
 oracle("accepted_reports", "spots reports", f"SELECT * FROM reports WHERE {_REASON} IS NULL")
 oracle("rejected_reports", "spots reports", f"SELECT id, {_REASON} AS reject_reason FROM reports WHERE {_REASON} IS NOT NULL")
-oracle(
-    "report_freshness", "spots reports",
-    "SELECT s.id, coalesce(l.status, 'UNKNOWN') AS status, l.created_at AS reported_at FROM spots s LEFT JOIN latest l"
-    " ON l.parking_spot_id = s.id",
-    latest="SELECT parking_spot_id, status, created_at FROM (SELECT *, row_number() OVER (PARTITION BY parking_spot_id"
-    " ORDER BY created_at DESC, id DESC) AS nth FROM reports WHERE user_id IS NOT NULL AND status <> 'TAKEN'"
-    " AND created_at BETWEEN TIMESTAMP '2001-06-30 00:00:00' AND TIMESTAMP '2001-07-30 00:00:00') r WHERE nth = 1",
-)
+for _name, _since, _now in (
+    ("report_freshness", "2001-06-30", "2001-07-30"),
+    ("stream_report_freshness", "2001-07-03", "2001-08-02"),
+):
+    oracle(
+        _name, "spots reports",
+        "SELECT s.id, coalesce(l.status, 'UNKNOWN') AS status, l.created_at AS reported_at FROM spots s LEFT JOIN latest l"
+        " ON l.parking_spot_id = s.id",
+        latest="SELECT parking_spot_id, status, created_at FROM (SELECT *, row_number() OVER (PARTITION BY parking_spot_id"
+        " ORDER BY created_at DESC, id DESC) AS nth FROM reports WHERE user_id IS NOT NULL AND status <> 'TAKEN'"
+        f" AND created_at BETWEEN TIMESTAMP '{_since} 00:00:00' AND TIMESTAMP '{_now} 00:00:00') r WHERE nth = 1",
+    )
 oracle(
     "reports_per_blockface", "reports faced_spots",
     "SELECT blockface_id, date_trunc('day', created_at) AS window_start, status, count(*) AS reports, max(created_at) AS last_report_at"

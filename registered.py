@@ -167,6 +167,11 @@ def dashboard_first_six(spark, d):
     )
 
 
+@query
+def dashboard_first_available(spark, d):
+    return serving.first_available(view(spark, d, "archive_spots"))
+
+
 @query
 def dashboard_stats(spark, d):
     mine = serving.own_rows(_favorites(spark, d), USER)
@@ -780,8 +785,7 @@ def stream_change_feed(spark, d):
     return jobs.current_spots(spark, view(spark, d, "spots"), f"{out}/batches").select("id", "street_name", "status")
 
 
-@query
-def stream_reports(spark, d):
+def _run_report_stream(spark, d) -> str:
     incoming = _stream(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"),
         F.expr("CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey % 150 END").alias("user_id"),
@@ -792,7 +796,21 @@ def stream_reports(spark, d):
     )
     out = shared_dir(spark, "reports")
     jobs.report_writer(incoming, f"{out}/batches", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return jobs.spots_with_reports(spark, view(spark, d, "spots"), f"{out}/batches").select(SPOT)
+    return f"{out}/batches"
+
+
+@query
+def stream_reports(spark, d):
+    out = _run_report_stream(spark, d)
+    return jobs.spots_with_reports(spark, view(spark, d, "spots"), out).select(SPOT)
+
+
+@query
+def stream_report_freshness(spark, d):
+    now = wall_clock("2001-08-02 00:00:00")
+    out = _run_report_stream(spark, d)
+    fresh = jobs.fresh_spots(spark, view(spark, d, "spots"), out, now, ttl_minutes=60 * 24 * 30)
+    return fresh.select("id", "status", "reported_at")
 
 
 @query

@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from curbspark import schemas
 from curbspark.operators import counts
 from curbspark.plans import city, ingest, normalize
 from curbspark.sources import feed, registry
+from curbspark.sources.seed import read_seed
 from tests.support import spark_rows
 
 AT = "2024-02-01 00:00:00"
@@ -187,43 +189,90 @@ def test_newest_import_wins(spark):
 
 
 def tables(spark):
-    empty_plan = city.CityPlan(feed_of(spark, [{}]), feed_of(spark, [{}]), feed_of(spark, [{}]), registry.source_rows(spark, ["meters"]), at())
-    nothing = F.lit(False)
+    def empty(schema):
+        kinds = {"timestamp": "timestamp_ntz"}
+        columns = [f"{f.name} {kinds.get(f.dataType.simpleString(), f.dataType.simpleString())}" for f in schema.fields]
+        return spark.createDataFrame([], ", ".join(columns))
+
     return {
-        "blocks": empty_plan.blocks.where(nothing),
-        "meters": empty_plan.meters.where(nothing),
-        "locations": empty_plan.locations.withColumn("created_at", at()).where(nothing),
-        "sources": registry.source_rows(spark, ["blocks", "meters", "regulations"]),
+        "sources": empty(schemas.SOURCES),
+        "blocks": empty(schemas.BLOCKS),
+        "meters": empty(schemas.METERS),
+        "locations": empty(schemas.LOCATIONS),
     }
 
 
-def test_run_import_writes_and_reruns(spark, tmp_path):
-    feeds = {
+NAMES = ("sources", "blocks", "meters", "locations")
+
+
+def city_feeds(spark):
+    meters = [{"post_id": f"P{i}", "lat": 37, "lng": -122, "blockface": "A"} for i in range(5)] + [{}]
+    return {
         "blocks": feed_of(spark, [{"objectid": 1, "blockface_id": "A"}]),
-        "meters": feed_of(spark, [{"post_id": f"P{i}", "lat": 37, "lng": -122, "blockface": "A"} for i in range(5)] + [{}]),
-        "regulations": feed_of(spark, [{"blockface": "A", "regulation": "RPP"}]),
+        "meters": feed_of(spark, meters),
+        "regulations": feed_of(spark, [{"blockface": "A", "regulation": "RPP"}, {"blockface": "Z"}]),
     }
-    start = tables(spark)
-    first = city.run_import(spark, feeds, start, str(tmp_path / "one"), at())
-    assert first["meters"].collect()[0].skipped == 1
-    assert first["regulations"].collect()[0].matched == 1
+
+
+def test_run_import_writes_and_reruns(spark, tmp_path):
+    feeds = city_feeds(spark)
+    first = city.run_import(spark, feeds, tables(spark), str(tmp_path / "one"), at())
+    assert first["counts.meters"].collect()[0].skipped == 1
+    assert first["counts.regulations"].collect()[0].matched == 1
     assert first["quality"].collect()[0].passed
-    assert {r.block_id for r in first["tables.meters"].collect()} == {first["tables.blocks"].collect()[0].id}
-    kept = {"sources": start["sources"], **{n: first[f"tables.{n}"] for n in ("blocks", "meters", "locations")}}
+    block = first["tables.blocks"].collect()[0]
+    assert block.regulation_type == "RPP"
+    assert {r.block_id for r in first["tables.meters"].collect()} == {block.id}
+    sources = {r.source_key: r.last_row_count for r in first["tables.sources"].collect()}
+    assert sources == {"datasf_metered_blocks": 1, "datasf_parking_meters": 5, "datasf_parking_regulations": 1}
+    raw = json.loads(first["tables.locations"].collect()[0].raw_source)
+    assert raw["source_display_name"] == "Parking Meters"
+    audit = first["audit.meters"].collect()[0]
+    assert (audit.rows_fetched, audit.rows_inserted, audit.rows_updated, audit.rows_skipped) == (6, 5, 0, 1)
+
+    kept = {n: first[f"tables.{n}"] for n in NAMES}
     second = city.run_import(spark, feeds, kept, str(tmp_path / "two"), at())
-    for name in ("tables.blocks", "tables.meters", "tables.locations"):
-        assert spark_rows(second[name]) == spark_rows(first[name])
-    assert second["tables.blocks"].collect()[0].regulation_type == "RPP"
+    for name in NAMES:
+        assert spark_rows(second[f"tables.{name}"]) == spark_rows(first[f"tables.{name}"])
+    audit = second["audit.meters"].collect()[0]
+    assert (audit.rows_inserted, audit.rows_updated, audit.status) == (0, 5, "partial")
+
+    # Blocks imported alone keep the regulations they already have.
+    third = city.run_import(spark, feeds, kept, str(tmp_path / "three"), at(), only=["blocks"])
+    assert third["tables.blocks"].collect()[0].regulation_type == "RPP"
+    assert "counts.meters" not in third
 
 
 def test_dry_run_writes_nothing(spark, tmp_path):
-    feeds = {"meters": feed_of(spark, [{"post_id": "1", "lat": 1, "lng": 2}])}
     out = tmp_path / "out"
-    result = city.run_import(spark, feeds, tables(spark), str(out), at(), only=["meters"], dry_run=True)
-    assert result["meters"].collect()[0].ready == 1
+    result = city.run_import(spark, city_feeds(spark), tables(spark), str(out), at(), dry_run=True)
+    assert result["counts.meters"].collect()[0].ready == 5
+    assert result["counts.regulations"].collect()[0].matched == 1
     assert not out.exists()
 
 
+def test_a_changed_feed_is_not_imported(spark, tmp_path):
+    fields = {"meters": ["post_id", "lat", "lng", "blockface", "jurisdiction"], "blocks": ["objectid", "blockface_id"]}
+    result = city.run_import(spark, city_feeds(spark), tables(spark), str(tmp_path / "out"), at(), expected=fields)
+    assert result["drift.meters"].collect()[0].missing_fields == "jurisdiction"
+    assert "drift.blocks" not in result and result["tables.meters"].count() == 0
+    assert result["tables.blocks"].count() == 1
+    assert {r.source_key for r in result["tables.sources"].collect()} == {"datasf_metered_blocks", "datasf_parking_regulations"}
+
+
+def test_seed(spark, tmp_path):
+    (tmp_path / "seed.csv").write_text(
+        "street_name,address,latitude,longitude,status,parking_type,price,time_limit,source\n"
+        "Oak St,1 Oak St,37.1,-122.1,AVAILABLE,METERED,$2.00/hr,2 hours,MOCK\n"
+        "Elm St,,37.2,-122.2,OCCUPIED,FREE,,,MOCK\n"
+        "Bad St,,37.3,-122.3,TAKEN,FREE,,,MOCK\n"
+    )
+    spots, rejected = read_seed(spark, str(tmp_path / "seed.csv"), at())
+    assert sorted(r.street_name for r in spots.collect()) == ["Elm St", "Oak St"]
+    assert [r.violations for r in rejected.collect()] == [["status not allowed"]]
+    assert spark_rows(spots) == spark_rows(read_seed(spark, str(tmp_path / "seed.csv"), at())[0])
+
+
 def test_drift(spark):
     row = city.schema_drift(feed_of(spark, [{"a": 1}, {"b": 2, "z": 3}]), ["a", "b", "c"]).collect()[0]
     assert (row.missing_fields, row.unexpected_fields, row.first_unexpected, row.drifted) == ("c", 1, "z", True)

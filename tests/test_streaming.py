@@ -55,6 +55,9 @@ def test_report_stream_equals_batch(spark, tmp_path):
     jobs.report_writer(stream, out, check).trigger(availableNow=True).start().awaitTermination()
     wanted, _, _ = reports.submit_reports(spots, log)
     assert spark_rows(jobs.spots_with_reports(spark, spots, out)) == spark_rows(wanted)
+    now = F.lit("2024-01-18").cast("timestamp_ntz")
+    fresh = reports.fresh_status(spots, log, now, 3 * 24 * 60)
+    assert spark_rows(jobs.fresh_spots(spark, spots, out, now, 3 * 24 * 60)) == spark_rows(fresh)
 
 
 def test_message_stream(spark, tmp_path):
