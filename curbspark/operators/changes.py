@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbspark.operators.skew import lookup_join
+from curbspark.operators.skew import lookup_join, unique_join
 
 OPS = ("INSERT", "UPDATE", "DELETE")
 
@@ -47,7 +47,7 @@ def _is_present(in_snapshot: Column) -> Column:
     )
 
 
-def apply_fold(snapshot: DataFrame, fold: DataFrame, key: str = "id") -> DataFrame:
+def apply_fold(snapshot: DataFrame, fold: DataFrame, key: str = "id", **join_options) -> DataFrame:
     """State after the folded changes.
 
     A key is present if its last insert follows its last delete, or if it was
@@ -62,7 +62,7 @@ def apply_fold(snapshot: DataFrame, fold: DataFrame, key: str = "id") -> DataFra
     if unknown:
         raise ValueError(f"change feed has columns the table lacks: {', '.join(unknown)}")
     state = snapshot.withColumn("_in_snapshot", F.lit(True))
-    joined = state.join(fold, key, "full")
+    joined = unique_join(state, fold, [key], "full", **join_options)
     in_snapshot = F.coalesce(F.col("_in_snapshot"), F.lit(False))
     wrote = F.col("last_write").isNotNull()
     return joined.where(_is_present(in_snapshot)).select(
@@ -74,10 +74,14 @@ def apply_fold(snapshot: DataFrame, fold: DataFrame, key: str = "id") -> DataFra
 
 
 def apply_changes(
-    snapshot: DataFrame, feed: DataFrame, key: str = "id", order: tuple[str, ...] = ("ts", "seq")
+    snapshot: DataFrame,
+    feed: DataFrame,
+    key: str = "id",
+    order: tuple[str, ...] = ("ts", "seq"),
+    **join_options,
 ) -> DataFrame:
     """State of a keyed table after a batch of row changes."""
-    return apply_fold(snapshot, fold_changes(feed, key, order), key)
+    return apply_fold(snapshot, fold_changes(feed, key, order), key, **join_options)
 
 
 def update_messages(operations: DataFrame, spots: DataFrame, key: str = "id", **join_options) -> DataFrame:

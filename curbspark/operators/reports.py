@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbspark.operators.latest import latest_per_key
-from curbspark.operators.skew import lookup_join
+from curbspark.operators.skew import lookup_join, unique_join
 from curbspark.schemas import STATUSES
 
 REJECT = "reject_reason"
@@ -36,7 +36,7 @@ def latest_status(reports: DataFrame) -> DataFrame:
     return latest_per_key(usable, ["parking_spot_id"], list(ORDER))
 
 
-def set_status(spots: DataFrame, latest: DataFrame, at: Column | None = None) -> DataFrame:
+def set_status(spots: DataFrame, latest: DataFrame, at: Column | None = None, **join_options) -> DataFrame:
     """Spots after status changes, one per spot in `latest`.
 
     Only status changes; `updated_at` becomes `at`, or the report's time when
@@ -50,7 +50,7 @@ def set_status(spots: DataFrame, latest: DataFrame, at: Column | None = None) ->
     )
     touched = F.col("_status").isNotNull()
     changed = {"status": F.col("_status"), "updated_at": F.col("_at")}
-    return spots.join(news, "id", "left").select(
+    return unique_join(spots, news, ["id"], **join_options).select(
         *[
             F.when(touched, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)
             for c in spots.columns
@@ -68,7 +68,9 @@ def submit_reports(
     return set_status(spots, latest_status(reports), at), accepted, rejected
 
 
-def fresh_status(spots: DataFrame, reports: DataFrame, now: Column, ttl_minutes: int = 20) -> DataFrame:
+def fresh_status(
+    spots: DataFrame, reports: DataFrame, now: Column, ttl_minutes: int = 20, **join_options
+) -> DataFrame:
     """Status as of `now`: the latest report if young enough, else UNKNOWN.
 
     Reports later than `now` do not count yet.  Adds `reported_at`, the time
@@ -80,7 +82,7 @@ def fresh_status(spots: DataFrame, reports: DataFrame, now: Column, ttl_minutes:
         F.col("parking_spot_id").alias("id"), F.col("status").alias("_status"), F.col("created_at").alias("reported_at")
     )
     status = F.coalesce(F.col("_status"), F.lit("UNKNOWN")).alias("status")
-    return spots.join(news, "id", "left").select(
+    return unique_join(spots, news, ["id"], **join_options).select(
         *[status if c == "status" else F.col(c) for c in spots.columns], "reported_at"
     )
 

@@ -1,9 +1,13 @@
-"""Joins of a large, possibly skewed side with a lookup side.
+"""Joins that neither gather a hot key in one task nor move a large table needlessly.
 
 A key may hold a third of all rows, and rows without a key all meet in one
 shuffle partition.  `lookup_join` therefore broadcasts the lookup side only
-when its size is known to be small, and otherwise spreads the heavy keys of
-the large side over several partitions, repeating just those lookup rows.
+when its size is known to be small.  Small facts first cut a large lookup down
+to the keys they use.  With both sides large, the heavy keys of the facts are
+spread over several partitions, repeating just those lookup rows.
+
+`unique_join` is for two sides that hold a key once, a large state and its
+news: small news are broadcast, so that the state stays where it is.
 """
 
 from __future__ import annotations
@@ -69,11 +73,53 @@ def lookup_join(
     size = plan_bytes(lookup) if lookup_bytes is None else lookup_bytes
     if size <= max_broadcast_bytes:
         joined = facts.join(F.broadcast(lookup), keys, how)
+    elif plan_bytes(facts) <= max_broadcast_bytes:
+        joined = facts.join(_known_of(facts, lookup, keys), keys, how)
     else:
         joined = _salted(facts, lookup, keys, how, salt_by, hot_rows, salts)
     return joined if condition is None else joined.where(condition)
 
 
+def _known_of(few: DataFrame, many: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a large table under the keys of a small one; the large one stays put."""
+    return many.join(F.broadcast(few.select(*keys).distinct()), keys, "left_semi")
+
+
+def absent_from(
+    state: DataFrame, news: DataFrame, keys: list[str], *, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Rows of the news, one per key, whose key the state lacks."""
+    known = state.select(*keys)
+    if plan_bytes(news) <= max_broadcast_bytes:
+        known = _known_of(news, known, keys)
+    return news.join(known, keys, "left_anti")
+
+
+def unique_join(
+    state: DataFrame,
+    news: DataFrame,
+    keys: list[str],
+    how: str = "left",
+    *,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> DataFrame:
+    """Left or full join of two sides without repeated keys.
+
+    With small news even the full join needs no exchange of the state: known
+    keys come from a left join, and the keys of the news that it lacks from a
+    scan of its key columns.  Rows a full join adds have null state columns.
+    """
+    if how not in ("left", "full"):
+        raise ValueError(f"unsupported join kind {how}")
+    if plan_bytes(news) > max_broadcast_bytes:
+        return state.join(news, keys, how)
+    known = state.join(F.broadcast(news), keys, "left")
+    if how == "left":
+        return known
+    fresh = absent_from(state, news, keys, max_broadcast_bytes=max_broadcast_bytes)
+    return known.unionByName(fresh, allowMissingColumns=True)
+
+
 def _salted(
     facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, salt_by: list[str], hot_rows: int, salts: int
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbspark.functions.text import non_blank
-from curbspark.operators.skew import lookup_join
+from curbspark.operators.skew import lookup_join, unique_join
 
 FIELDS = ("address", "latitude", "longitude", "available", "price", "restrictions")
 REJECT = "reject_reason"
@@ -32,10 +32,13 @@ def check_operations(spots: DataFrame, operations: DataFrame, **join_options) ->
     """
     checked = operations.withColumn(REJECT, _field_problem())
     sound = checked.where(F.col(REJECT).isNull())
-    births = sound.where(F.col("op") == "create").groupBy("id").agg(F.min("seq").alias("_created"))
+    touched = operations.groupBy("id").agg(
+        F.min(F.when((F.col("op") == "create") & _field_problem().isNull(), F.col("seq"))).alias("_created")
+    )
     known = spots.select("id", F.lit(True).alias("_known"))
-    starts = births.join(known, "id", "full").select(
-        "id", F.when(F.col("_known"), F.lit(None)).otherwise(F.col("_created")).alias("_born"),
+    starts = lookup_join(touched, known, ["id"], "left", salt_by=["id"], **join_options).select(
+        "id",
+        F.when(F.col("_known").isNull(), F.col("_created")).alias("_born"),
         F.coalesce("_known", F.lit(False)).alias("_known"),
     )
     deletes = sound.where(F.col("op") == "delete").select("id", "seq")
@@ -58,7 +61,7 @@ def check_operations(spots: DataFrame, operations: DataFrame, **join_options) ->
     return dated.select(*operations.columns, reason.alias(REJECT))
 
 
-def apply_operations(spots: DataFrame, checked: DataFrame) -> DataFrame:
+def apply_operations(spots: DataFrame, checked: DataFrame, **join_options) -> DataFrame:
     """Spots after the accepted operations of `check_operations`.
 
     Creates and updates replace the six fields; an availability operation
@@ -71,7 +74,9 @@ def apply_operations(spots: DataFrame, checked: DataFrame) -> DataFrame:
         F.max_by("available", F.when(F.col("op") != "delete", F.col("seq"))).alias("_available"),
         F.bool_or(F.col("op") == "delete").alias("_deleted"),
     )
-    joined = spots.join(fold, "id", "full").where(~F.coalesce(F.col("_deleted"), F.lit(False)))
+    joined = unique_join(spots, fold, ["id"], "full", **join_options).where(
+        ~F.coalesce(F.col("_deleted"), F.lit(False))
+    )
     rewritten = F.col("_row").isNotNull()
     values = []
     for name in spots.columns:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbspark.operators.latest import first_per_key
+from curbspark.operators.skew import absent_from, unique_join
 
 CHANGE = "_change"
 _IN_TARGET, _IN_BATCH = "_in_target", "_in_batch"
@@ -22,6 +23,7 @@ def upsert(
     guard: Column | None = None,
     insert_new: bool = True,
     with_change: bool = False,
+    **join_options,
 ) -> DataFrame:
     """Next state of `target` after writing `batch`, which has one row per key.
 
@@ -32,7 +34,8 @@ def upsert(
     hold for a row to be overwritten.  `with_change` adds a `_change` column:
     inserted, updated or unchanged.
 
-    Both sides hold a key once, so the join cannot skew.
+    Both sides hold a key once, so the join cannot skew; a small batch is
+    broadcast and the target is not exchanged.
     """
     defaults = defaults or {}
     kept = {*keep, "created_at"}
@@ -43,7 +46,7 @@ def upsert(
     news = batch.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in new_names]).withColumn(
         _IN_BATCH, F.lit(True)
     )
-    joined = state.join(news, keys, "full" if insert_new else "left")
+    joined = unique_join(state, news, keys, "full" if insert_new else "left", **join_options)
     written = F.coalesce(F.col(_IN_BATCH), F.lit(False))
     known = F.coalesce(F.col(_IN_TARGET), F.lit(False))
     overwritten = known & written & F.coalesce(F.col("_open"), F.lit(False))
@@ -73,7 +76,7 @@ def upsert(
 
 
 def insert_if_absent(
-    target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]
+    target: DataFrame, batch: DataFrame, keys: list[str], order: list[str], **join_options
 ) -> tuple[DataFrame, DataFrame]:
     """Split a batch into rows to append and rows whose key is already taken.
 
@@ -81,7 +84,7 @@ def insert_if_absent(
     are reported as already there, like rows whose key is in `target`.
     """
     first = first_per_key(batch.select(*keys, *[c for c in order if c not in keys]), keys, order)
-    fresh = first.join(target.select(*keys), keys, "left_anti")
+    fresh = absent_from(target, first, keys, **join_options)
     place = [*keys, *[c for c in order if c not in keys]]
     inserted = batch.join(fresh, place, "left_semi")
     already = batch.join(fresh, place, "left_anti")

@@ -14,7 +14,7 @@ from curbspark.functions.geo import valid_coordinate
 from curbspark.functions.text import first_of, is_whole, scalar_text, to_number, trimmed_fields
 from curbspark.operators.latest import first_per_key, latest_per_key
 from curbspark.operators.once import evaluate_once
-from curbspark.operators.skew import lookup_join
+from curbspark.operators.skew import lookup_join, unique_join
 
 MISSING_COORDINATES = "missing_coordinates"
 INVALID_COORDINATES = "invalid_coordinates"
@@ -235,7 +235,7 @@ def merge_regulations(blocks: DataFrame, matched: DataFrame, imported_at: Column
     last = latest_per_key(patches, ["block_id"], ["feed_pos"]).select(
         F.col("block_id").alias("id"), F.struct(*REGULATION).alias("_patch")
     )
-    joined = blocks.join(last, "id", "left")
+    joined = unique_join(blocks, last, ["id"])
     patched = F.col("_patch").isNotNull()
     known = [c for c in blocks.columns if c not in REGULATION]
     old = {c: F.col(c) for c in REGULATION if c in blocks.columns}

@@ -38,7 +38,7 @@ def test_pairs_equal_brute_force(spark, lat, lng, spread, radius, salted):
     right = spark.createDataFrame(
         [(i, *p) for i, p in enumerate(points)], "point_id long, point_latitude double, point_longitude double"
     )
-    options = {"max_broadcast_bytes": -1 if salted else 1 << 60, "hot_rows": 10}
+    options = {"max_broadcast_bytes": -1 if salted else 1 << 99, "hot_rows": 10}
     got = radius_join(right, left, radius, location_key="id", **options).select("point_id", "id").collect()
     pairs = [(r.point_id, r.id) for r in got]
     wanted = [

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from curbspark.operators.skew import hot_keys, lookup_join
+from curbspark.operators.skew import hot_keys, lookup_join, unique_join
 from tests.support import spark_rows
 
 
@@ -24,7 +24,8 @@ def test_salted_join_equals_plain_join(sides, how):
     plain = facts.join(lookup, ["k"], how)
     salted = lookup_join(facts, lookup, ["k"], how, salt_by=["row"], max_broadcast_bytes=-1, hot_rows=100, salts=7)
     small = lookup_join(facts, lookup, ["k"], how, salt_by=["row"])
-    assert spark_rows(salted) == spark_rows(plain) == spark_rows(small)
+    cut = lookup_join(facts, lookup, ["k"], how, salt_by=["row"], lookup_bytes=1 << 99)
+    assert spark_rows(salted) == spark_rows(plain) == spark_rows(small) == spark_rows(cut)
 
 
 def test_hot_rows_spread_over_partitions(spark, sides):
@@ -47,6 +48,25 @@ def test_hot_keys(sides):
     assert [r.k for r in hot_keys(facts, ["k"], 100).collect()] == [1]
 
 
+@pytest.mark.parametrize("how", ["left", "full"])
+def test_unique_join_equals_plain_join(spark, how):
+    state = spark.range(20).select(F.col("id").alias("k"), (F.col("id") * 2).alias("old"))
+    news = spark.range(15, 30).select(F.col("id").alias("k"), F.lit("n").alias("new"))
+    plain = spark_rows(state.join(news, ["k"], how))
+    assert spark_rows(unique_join(state, news, ["k"], how)) == plain
+    assert spark_rows(unique_join(state, news, ["k"], how, max_broadcast_bytes=-1)) == plain
+
+
+def test_small_news_do_not_move_the_state(spark, tmp_path):
+    spark.range(50000).select("id", F.col("id").cast("string").alias("wide")).write.parquet(str(tmp_path / "state"))
+    state = spark.read.parquet(str(tmp_path / "state"))
+    news = spark.range(10).select("id", F.lit(1).alias("new"))
+    text = unique_join(state, news, ["id"], "full")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and any("[id#" in s and "wide" not in s.split("Batched")[0] for s in scans)
+    assert "FullOuter" not in text and text.count("BroadcastHashJoin") >= 2
+
+
 def test_join_kinds_are_checked(sides):
     facts, lookup = sides
     with pytest.raises(ValueError):
