@@ -19,13 +19,16 @@ MAX_BROADCAST_BYTES = 16 * 1024 * 1024
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 SALTS = 64
+UNKNOWN_BYTES = 1 << 63
 
 _SALT = "_salt"
 _HOT = "_hot"
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; filters and projections never raise it."""
+    """Catalyst's size estimate; filters never raise it.  Unknown counts as large."""
+    if not hasattr(df, "_jdf"):
+        return UNKNOWN_BYTES
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 

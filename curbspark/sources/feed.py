@@ -1,7 +1,7 @@
 """Landed open-data feeds as DataFrames of raw JSON records.
 
-Downloading is not done here: pages lie as files in a folder, one JSON array
-per file, named so that file names sort in page order.
+Downloading is not done here: a feed lies in a folder, as pages of one JSON
+array each or as JSON lines, named so that file names sort in feed order.
 """
 
 from __future__ import annotations
@@ -34,6 +34,27 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of a feed landed as JSON lines, as (feed_pos, raw).
+
+    Large files are split between tasks.  `feed_pos` sorts in feed order: by
+    file name, start of the split, and place within it.  Blank lines are no
+    records.
+    """
+    return (
+        spark.read.text(path)
+        .select(
+            F.struct(
+                F.col("_metadata.file_name").alias("page"),
+                F.col("_metadata.file_block_start").alias("split_start"),
+                F.monotonically_increasing_id().alias("item"),
+            ).alias("feed_pos"),
+            F.col("value").alias("raw"),
+        )
+        .where(F.trim("raw") != "")
+    )
+
+
 def row_limit(limit: float | None = None, full: bool = False, default: float | None = None) -> int | None:
     """Rows to import: an explicit limit, else the environment's, else the default.
 

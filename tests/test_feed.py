@@ -44,6 +44,27 @@ def test_a_page_that_is_no_array_fails(spark, tmp_path):
         feed.read_pages(spark, str(tmp_path)).collect()
 
 
+def test_lines_in_feed_order(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"n":4}\n')
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"n":{i}}}\n' for i in range(4)) + "\n")
+    rows = feed.read_lines(spark, str(tmp_path)).repartition(3).orderBy("feed_pos").collect()
+    assert [json.loads(r.raw)["n"] for r in rows] == [0, 1, 2, 3, 4]
+    mapped = ingest.map_meters(feed.read_lines(spark, str(tmp_path)), "s", at())
+    assert mapped.count() == 5
+
+
+def test_split_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"n":{i}}}\n' for i in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        lines = feed.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 1
+        assert [json.loads(r.raw)["n"] for r in lines.orderBy("feed_pos").collect()] == list(range(5000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_row_limit():
     assert feed.row_limit() == 100
     assert feed.row_limit(full=True) is None

@@ -68,18 +68,6 @@ def test_top_k_does_not_sort_everything(spark, located):
         assert "TakeOrderedAndProject" in plan(df)
 
 
-GATES = {"nearby_with_fallback", "nearby_without_fallback"}
-
-
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
-def test_no_query_multiplies_its_inputs(spark, name):
-    text = plan(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in text
-    assert "Python" not in text and "ArrowEval" not in text
-    if name not in GATES:
-        assert "BroadcastNestedLoopJoin" not in text
-
-
 def test_the_fallback_gate_holds_one_row(spark):
     text = plan(QUERIES["nearby_with_fallback"](spark, SF))
     assert text.count("BroadcastNestedLoopJoin") == text.count("LeftAnti") == 1
