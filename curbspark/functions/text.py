@@ -57,6 +57,16 @@ def trimmed_fields(record: str, keys: Sequence[str]) -> Column:
     return F.expr(f"struct({parts})")
 
 
+def number_fields(record: str, keys: Sequence[str]) -> Column:
+    """Struct of the listed fields of a struct column as numbers, by the rule of `to_number`."""
+    trimmed = {key: f"btrim({record}.`{key}`, '{BLANKS}')" for key in keys}
+    parts = ", ".join(
+        f"CASE WHEN {text} RLIKE r'{NUMBER}' THEN try_cast({text} AS DOUBLE) END AS `{key}`"
+        for key, text in trimmed.items()
+    )
+    return F.expr(f"struct({parts})")
+
+
 def to_number(text: Column) -> Column:
     """Double from feed text, null when it is no plain decimal number.
 

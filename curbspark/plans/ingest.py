@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from curbspark.functions import feed_fields as names
 from curbspark.functions.geo import valid_coordinate
-from curbspark.functions.text import first_of, is_whole, scalar_text, to_number, trimmed_fields
+from curbspark.functions.text import first_of, is_whole, number_fields, scalar_text, trimmed_fields
 from curbspark.operators.latest import first_per_key, latest_per_key
 from curbspark.operators.once import evaluate_once
 from curbspark.operators.skew import lookup_join, unique_join
@@ -35,13 +35,12 @@ def parse_feed(feed: DataFrame, fields: tuple[str, ...], numbers: tuple[str, ...
     Also `pair`, the coordinates of the shape, and `location`, the nested point.
     """
     record = F.col("record")
-    values = [to_number(record[name]).alias(name) for name in dict.fromkeys(numbers)]
     parsed = evaluate_once(feed, keep, record=names.parse_record(F.col("raw"), fields))
     return evaluate_once(
         parsed,
         keep,
         text=trimmed_fields("record", list(dict.fromkeys(fields))),
-        number=F.struct(*values),
+        number=number_fields("record", list(dict.fromkeys(numbers))),
         pair=record["shape"]["coordinates"],
         location=names.nested_location(record) if "location" in fields else F.lit(None),
     )

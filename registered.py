@@ -376,7 +376,7 @@ def limited_meter_counts(spark, d):
 @query
 def meters_with_blocks(spark, d):
     plan = _plan(spark, d)
-    named = plan.blocks.select(F.col("id").alias("block_id"), F.col("external_id").alias("block_external_id"))
+    named = plan.imported_blocks.select(F.col("id").alias("block_id"), F.col("external_id").alias("block_external_id"))
     return plan.meters.join(named, "block_id", "left").select("external_id", "blockface_id", "block_external_id")
 
 
