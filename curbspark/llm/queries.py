@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from curbspark.llm import quality
+from curbspark.llm import chat, exact_dedup, mixing, quality
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op5_chat_formatting": chat.op5_chat_formatting,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_mixing": mixing.op10_mixing,
+}
+ORACLES = {
+    "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op5_chat_formatting": chat.OP5_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
