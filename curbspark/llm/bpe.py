@@ -14,21 +14,44 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from curbspark.llm.common import table
 
 #: Words and fragments that a Python worker remembers; the caches start anew when full.
-MAX_CACHED = 250_000
-
-_SPACE = regex.compile(r"\p{White_Space}+")
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+MAX_CACHED = 400_000
+
+#: Words of up to so many bytes are merged by scanning all pairs, longer ones with a heap.
+LONG = 128
+
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = re.compile(f"[{_WHITE}]+")
+#: White space to str.split(), symbols to the vocabulary's pattern.
+_NOT_WHITE = re.compile("[\x1c-\x1f]")
+_NONE = 1 << 60
+
+
+@functools.cache
+def _word_pattern() -> re.Pattern:
+    """The word pattern, with the letters and numbers of Python's own Unicode tables, as re has no classes for them."""
+    runs: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for point in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(point))[0]
+        if kind in runs:
+            if runs[kind] and runs[kind][-1][1] == point - 1:
+                runs[kind][-1][1] = point
+            else:
+                runs[kind].append([point, point])
+    letters, numbers = ("".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in r) for r in runs.values())
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -39,96 +62,123 @@ def byte_symbols() -> list[str]:
 
 
 class WordBpe(dict):
-    """Encodes words; as a dict, it holds the words met: word -> ids and tokens, each joined by spaces."""
+    """As a dict: what stands between white space -> its ids and its tokens, each joined by spaces."""
 
     def __init__(self, path: str):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"]
-        self.ids: dict[str, int] = model["vocab"]
-        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {tuple(m): k for k, m in enumerate(merges)}
+        end, ids = model["end_of_word_suffix"], model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {v: k for k, v in [*self.ids.items(), *self.special.items()]}
-        self.symbols = byte_symbols()
-        self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        # Pairs inside tokens, and pairs that end a word.
-        self.inner, self.last = set(), set()
-        for token in self.ids:
-            ends = token.endswith(self.end) and token != self.end
-            body = token.removesuffix(self.end) if ends else token
-            pairs = [body[i : i + 2] for i in range(len(body) - 1)]
+        self.tokens = {v: k for k, v in [*ids.items(), *self.special.items()]}
+        self.is_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        symbols = byte_symbols()
+        self.inside, self.ending = ([ids[s + x] for s in symbols] for x in ("", end))
+        # Pair of ids -> rank and id of the merged token, in one number each.
+        self.merges: dict[int, int] = {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            self.merges[ids[a] << 20 | ids[b]] = rank << 20 | ids[a + b]
+        # Byte pairs inside tokens, and those that end a word.
+        byte = {s: b for b, s in enumerate(symbols)}
+        self.joined: set[int] = set()
+        self.joined_at_end: set[int] = set()
+        for token in ids:
+            ends = token.endswith(end) and token != end
+            body = [byte[s] for s in (token.removesuffix(end) if ends else token)]
+            pairs = [x << 8 | y for x, y in zip(body, body[1:], strict=False)]
             if ends and pairs:
-                self.last.add(pairs.pop())
-            self.inner.update(pairs)
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
-
-    def cut(self, word: str) -> list[str]:
-        """The fragments of a word in byte symbols."""
-        out, begin, n = [], 0, len(word)
-        for i in range(1, n):
-            if word[i - 1 : i + 1] not in (self.last if i == n - 1 else self.inner):
-                out.append(word[begin:i])
-                begin = i
-        out.append(word[begin:])
+                self.joined_at_end.add(pairs.pop())
+            self.joined.update(pairs)
+        self.words: dict[str, list[int]] = {}
+        self.fragments: dict[tuple[bytes, bool], list[int]] = {}
+
+    def cuts(self, word: bytes) -> list[int]:
+        """Where the word is certain to be cut."""
+        last, joined = len(word) - 1, self.joined
+        out = [i for i in range(1, last) if word[i - 1] << 8 | word[i] not in joined]
+        if last > 0 and word[last - 1] << 8 | word[last] not in self.joined_at_end:
+            out.append(last)
         return out
 
-    def encode_fragment(self, fragment: str, ends: bool) -> list[int]:
-        parts = list(fragment)
+    def merged(self, fragment: bytes, ends: bool) -> list[int]:
+        ids = [self.inside[b] for b in fragment]
         if ends:
-            parts[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            pairs = list(zip(parts, parts[1:], strict=False))
-            best = min(pairs, key=lambda p: ranks.get(p, none))
-            if best not in ranks:
-                break
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return [self.ids[p] for p in parts]
-
-    def encode_word(self, word: str) -> list[int]:
-        fragments = self.cut("".join(map(self.symbols.__getitem__, word.encode())))
+            ids[-1] = self.ending[fragment[-1]]
+        if len(ids) > LONG:
+            return self._merged_by_heap(ids)
+        get = self.merges.get
+        ranks = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != _NONE:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & 0xFFFFF]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], _NONE)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], _NONE)
+        return ids
+
+    def _merged_by_heap(self, ids: list[int]) -> list[int]:
+        """The same merges in n log n steps: a heap of pairs over a linked list."""
+        get, n = self.merges.get, len(ids)
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        heap = [(v, i) for i in range(n - 1) if (v := get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            v, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or get(ids[i] << 20 | ids[j]) != v:
+                continue
+            ids[i], ids[j] = v & 0xFFFFF, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (w := get(ids[a] << 20 | ids[b])) is not None:
+                    heapq.heappush(heap, (w, a))
+        return [x for x in ids if x >= 0]
+
+    def encode_word(self, text: str) -> list[int]:
+        word = text.encode()
+        cuts = self.cuts(word)
+        if not cuts:
+            return self.merged(word, True)
         out: list[int] = []
-        for k, fragment in enumerate(fragments):
-            key = (fragment, k == len(fragments) - 1)
+        for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True):
+            key = (word[a:b], b == len(word))
             if (ids := self.fragments.get(key)) is None:
                 if len(self.fragments) >= MAX_CACHED:
                     self.fragments.clear()
-                ids = self.fragments[key] = self.encode_fragment(*key)
+                ids = self.fragments[key] = self.merged(*key)
             out += ids
         return out
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, chunk: str) -> tuple[str, str]:
+        # Lower case of each character by itself, not of a sigma by its place.
+        text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        ids: list[int] = []
+        for word in _word_pattern().findall(text):
+            if (own := self.words.get(word)) is None:
+                if len(self.words) >= MAX_CACHED:
+                    self.words.clear()
+                own = self.words[word] = self.encode_word(word)
+            ids += own
         if len(self) >= MAX_CACHED:
             self.clear()
-        ids = self.encode_word(word)
-        self[word] = out = (" ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)))
+        self[chunk] = out = (" ".join(map(str, ids)), " ".join(map(self.tokens.__getitem__, ids)))
         return out
 
-    def words(self, text: str) -> list[str]:
-        text = _SPACE.sub(" ", text if text.isascii() else unicodedata.normalize("NFC", text))
-        # Lower case of each character by itself, not of a sigma by its place.
-        return _WORD.findall(text.replace("Σ", "σ").lower())
-
     def coded(self, text: str) -> tuple[str, str]:
         """The ids and the decoded text; this vocabulary decodes to its tokens joined by spaces."""
         out: list[tuple[str, str]] = []
-        for k, part in enumerate(self.split.split(text)):
+        for k, part in enumerate(self.is_special.split(text)):
             if k % 2:
                 out.append((str(self.special[part]), part))
             else:
-                out += map(self.__getitem__, self.words(part))
-        return " ".join([x[0] for x in out]), " ".join([x[1] for x in out])
+                out += map(self.__getitem__, _SPACE.split(part) if _NOT_WHITE.search(part) else part.split())
+        return " ".join([x[0] for x in out if x[0]]), " ".join([x[1] for x in out if x[0]])
 
 
 @functools.lru_cache(maxsize=2)
