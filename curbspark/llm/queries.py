@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from curbspark.llm import bpe, chat, exact_dedup, jaccard_join, mixing, quality, secrets, toxicity
+from curbspark.llm import bpe, chat, exact_dedup, jaccard_join, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pii": pii.op3_pii,
     "op4_bpe": bpe.op4_bpe,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
