@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curbspark.llm import bpe, chat, exact_dedup, jaccard_join, mixing, pii, quality, secrets, toxicity
+from curbspark.llm import bpe, chat, exact_dedup, html_text, jaccard_join, mixing, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3_pii,
     "op4_bpe": bpe.op4_bpe,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_html_extraction": html_text.op6_html_extraction,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scans": secrets.op9_secret_scans,
