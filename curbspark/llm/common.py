@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the used ones renamed, so that none clashes with what an operator adds,
+    and a function that gives the columns of docs back."""
+    inner = {c: c if c in used else f"__{i}" for i, c in enumerate(docs.columns)}
+    back = lambda df: df.select(*(F.col(n).alias(c) for c, n in inner.items()))
+    return docs.select(*(F.col(c).alias(n) for c, n in inner.items())), back
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 

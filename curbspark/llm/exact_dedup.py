@@ -21,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbspark.llm.common import SPACE, staged, table, whole_text
+from curbspark.llm.common import SPACE, shielded, staged, table, whole_text
 
 #: Characters of the text in a splitter.
 HEAD_CHARS = 16
@@ -133,13 +133,13 @@ def exact_groups(docs: DataFrame, ranges: int | None = None) -> DataFrame:
 
 def without_copies(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """The rows that stay, columns as they came."""
-    rows = staged(sorted_runs(docs, ranges).where("_first or _border is not null"), "dedup")
+    inner, back = shielded(docs, "doc_id", "text")
+    rows = staged(sorted_runs(inner, ranges).where("_first or _border is not null"), "dedup")
     across = _groups_across(rows.where("_border is not null").select("_range", "_run", "_border"))
-    return (
+    return back(
         rows.where("_first")
         .join(F.broadcast(across), ["_range", "_run"], "left")
         .where("_starts is null or _starts = _range")
-        .select(docs.columns)
     )
 
 

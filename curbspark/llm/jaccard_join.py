@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbspark.llm.common import staged, table
+from curbspark.llm.common import shielded, staged, table
 from curbspark.llm.components import components
 from curbspark.llm.shingles import COORDINATES, shingle_sets, signature
 
@@ -349,4 +349,6 @@ def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
 def join_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each class, columns as they came. Rows that share an id stay or go together."""
     keep = joined(docs).where("doc_id <=> class_id").select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    inner, back = shielded(docs, "doc_id", "text")
+    kept = keep.withColumnRenamed("doc_id", "_kept")
+    return back(inner.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"))

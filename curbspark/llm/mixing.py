@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbspark.llm.common import staged, table, whole_text, words_of
+from curbspark.llm.common import shielded, staged, table, whole_text, words_of
 
 #: Weights of the sources in order.
 WEIGHTS = (5, 2, 1)
@@ -167,16 +167,16 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one taken in part counts as whole if half of it is taken."""
-    sized = keyed(docs)
+    inner, back = shielded(docs, "doc_id", "source", "text")
+    sized = keyed(inner)
     narrow = staged(sized.select("doc_id", "source", "size", "sampling_key"), "mixing")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    return (
+    return back(
         taken(sized, source_cuts(narrow))
         .where("taken > 0")
         .withColumn("_copies", copies)
         .where("_copies > 0")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(docs.columns)
     )
 
 

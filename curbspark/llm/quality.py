@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbspark.llm.common import SPACE, table, whole_text, words_of
+from curbspark.llm.common import SPACE, shielded, table, whole_text, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -36,30 +36,22 @@ MIN_SCORE = -0.25
 _PUNCT = r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])"
 
 
-def with_tokens(docs: DataFrame) -> DataFrame:
-    """docs with a row for each token and its successor, buckets of the token and of the pair.
-
-    The last token has no successor; its pair is the token alone. A text without
-    tokens gives one row of nulls.
-    """
-    text = F.regexp_replace(whole_text(), _PUNCT, " $1 ")
-    bucket = lambda *x: F.xxhash64(*x).bitwiseAND(BUCKETS - 1).cast("int")
+def with_pairs(docs: DataFrame) -> DataFrame:
+    """docs with _pairs: each token (t) and its successor (next); the last token has none, its pair is the token alone."""
     return (
-        docs.withColumn("_tokens", words_of(text))
-        .withColumn("_pairs", F.arrays_zip(F.col("_tokens").alias("t"), F.expr("slice(_tokens, 2, size(_tokens))").alias("next")))
-        .drop("_tokens", "text")
-        .select("*", F.posexplode_outer("_pairs").alias("_pos", "_pair"))
-        .drop("_pairs")
-        .withColumns(
-            {
-                "_one": F.when(F.col("_pos").isNotNull(), bucket("_pair.t")),
-                "_two": F.when(F.col("_pos").isNotNull(), bucket("_pair.t", "_pair.next")),
-            }
+        docs.withColumn("_tokens", words_of(F.regexp_replace(whole_text(), _PUNCT, " $1 ")))
+        .withColumn(
+            "_pairs",
+            F.arrays_zip(F.col("_tokens").alias("t"), F.expr("slice(_tokens, 2, size(_tokens))").alias("next")),
         )
-        .drop("_pair")
+        .drop("_tokens")
     )
 
 
+def bucket(*ngram: Column) -> Column:
+    return F.xxhash64(*ngram).bitwiseAND(BUCKETS - 1).cast("int")
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(target / raw) of each bucket.
 
@@ -76,10 +68,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
         .withColumn("_trusted", F.lit(1))
     )
     counts = (
-        with_tokens(docs.select("doc_id", "text"))
+        with_pairs(docs.select("doc_id", "text"))
         .join(F.broadcast(trusted), "doc_id", "left")
-        .select("_trusted", F.explode(F.array("_one", "_two")).alias("bucket"))
-        .where("bucket is not null")
+        .select("_trusted", F.explode("_pairs").alias("p"))
+        .select("_trusted", F.explode(F.array(bucket("p.t"), bucket("p.t", "p.next"))).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
         .withColumns({"n_raw": F.expr("sum(raw) over ()"), "n_target": F.expr("sum(target) over ()")})
@@ -158,20 +150,14 @@ def judged(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) ->
     """docs with the measures, score and kept."""
     # One literal array; a list literal would cross to the JVM element by element.
     ratios = F.split(F.lit(",".join(f"{x:.6g}" for x in log_ratios(docs, labels))), ",").cast("array<double>")
-    measures = measured(docs)
-    keys = [c for c in measures.columns if c != "text"]
-    scored = (
-        with_tokens(measures)
-        .groupBy(keys)
-        .agg(
-            # Equal rows meet in one group and come out as often as they went in.
-            F.sum(F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, 1)).alias("_rows"),
-            F.try_divide(F.sum(F.get(ratios, F.col("_one")) + F.get(ratios, F.col("_two"))), 2 * F.count("_pos")).alias("score"),
-        )
-        .withColumn("score", F.coalesce("score", F.lit(0.0)))
+    ratio = lambda *ngram: F.get(ratios, bucket(*ngram))
+    total = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + ratio(p.t) + ratio(p.t, p.next))
+    return (
+        with_pairs(measured(docs))
+        .withColumn("score", F.coalesce(F.try_divide(total, 2 * F.size("_pairs")), F.lit(0.0)))
+        .drop("_pairs")
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score))
     )
-    return scored.withColumn("_rows", F.explode(F.sequence(F.lit(1), F.col("_rows")))).drop("_rows")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -181,4 +167,5 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, columns as they came."""
-    return judged(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    inner, back = shielded(docs, "doc_id", "text")
+    return back(judged(inner, table(spark, sf_dir, "labels")).where("kept"))
