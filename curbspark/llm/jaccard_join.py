@@ -183,27 +183,26 @@ def buckets(sets: DataFrame, runs: int, levels: int = LEVELS) -> DataFrame:
 
 
 def _hang_together(group: pa.Table) -> pa.RecordBatch | None:
-    """Edges from each set to a pivot that is similar by signature."""
+    """Edges to the least set of those that pivots hold together: at most one for each set."""
     ids = group.column("set_id").to_numpy()
     ids, first = np.unique(ids, return_index=True)
     n = len(ids)
     if n < 2:
         return None
     sig = np.asarray(group.column("signature").combine_chunks().flatten()).reshape(-1, COORDINATES)[first]
-    linked = np.zeros(n, bool)
-    a, b = [], []
+    linked, root = np.zeros(n, bool), np.arange(n)
     for p in range(n):
         if linked[p]:
             continue
         near = np.flatnonzero((sig == sig[p]).sum(1) >= LEAST_EQUAL)
-        near = near[near != p]
-        linked[near[near > p]] = True
-        a.append(ids[near])
-        b.append(np.full(len(near), ids[p]))
-    a, b = np.concatenate(a), np.concatenate(b)
+        linked[near] = True
+        # The least member stands for what hangs together.
+        met = np.unique(root[near])
+        root[np.isin(root, met)] = met[0]
+    a = np.flatnonzero(root != np.arange(n))
     if not len(a):
         return None
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[root[a]], pa.int64())], ["a", "b"])
 
 
 def loose_edges(sets: DataFrame, runs: int) -> DataFrame:
@@ -252,6 +251,7 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 
 def _linked(group: pa.Table) -> pa.RecordBatch:
     """Of each set: links with other sets and with documents in this pair of blocks, and an edge that keeps it connected."""
+    group = group.sort_by("set_id").combine_chunks()
     ids, block = group.column("set_id").to_numpy(), group.column("_block").to_numpy()
     copies = group.column("copies").to_numpy()
     sets = [np.frombuffer(h, np.uint64) for h in group.column("hashes").to_pylist()]

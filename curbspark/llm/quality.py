@@ -168,4 +168,6 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, columns as they came."""
     inner, back = shielded(docs, "doc_id", "text")
-    return back(judged(inner, table(spark, sf_dir, "labels")).where("kept"))
+    # A plain filter would be pushed below all projections, with every expression copied into it.
+    verdict = F.explode(F.array("kept")).alias("_verdict")
+    return back(judged(inner, table(spark, sf_dir, "labels")).select("*", verdict).where("_verdict"))
