@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from curbspark.llm.common import table
 
@@ -220,7 +221,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "token_ids"]
             )
 
-    schema = docs.drop("token_ids").schema.add("token_ids", "array<int>")
+    schema = docs.drop("token_ids").schema.add("token_ids", ArrayType(IntegerType()))
     return docs.drop("token_ids").mapInArrow(run, schema)
 
 

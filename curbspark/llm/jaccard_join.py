@@ -172,7 +172,8 @@ def buckets(sets: DataFrame, runs: int, levels: int = LEVELS) -> DataFrame:
         members = staged(
             split.select("set_id", F.explode(_children(F.col("path"), F.col("signature"))).alias("bucket")), "paths"
         )
-        counts = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        # As a table of its own, so that the join below shuffles both sides and can split a hot bucket.
+        counts = staged(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "paths")
         counted = members.join(counts, "bucket")
         leaf = counted if level == levels else counted.where(F.col("n") <= SMALL_BUCKET)
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
