@@ -1,8 +1,10 @@
 """Local-time tests for recurring no-parking windows.
 
 A window row has `weekday` (a day name or its first letters), `start_time` and
-`end_time` as local `HH:mm` text and `weeks_of_month` such as `1,3`, where null
-or blank means every week.  A window holds its start and not its end.
+`end_time` as local text, `H:mm`, `HH:mm` or `HH:mm:ss`, and `weeks_of_month` such
+as `1,3`, where null or blank means every week.  A window holds its start and not
+its end.  One that ends at or before its start runs into the next day; weekday and
+week are those of its start.  A window with an unreadable time never holds.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 LOCAL_ZONE = "America/Los_Angeles"
-# The fifth weekday can be missing in a few months running.
-WEEKS_AHEAD = 14
+# From one fifth weekday to the next is 17 weeks at most, over all 400 years of the calendar's cycle.
+# One week more as today's window may have begun.  So this bound never cuts anything off.
+WEEKS_AHEAD = 18
 
 
 def local_time(instant: Column, zone: str = LOCAL_ZONE) -> Column:
@@ -27,6 +30,18 @@ def weekday_number(weekday: Column) -> Column:
     return F.when(position % 3 == 1, ((position + 2) / 3).cast("int"))
 
 
+def seconds_of_day(time: Column) -> Column:
+    """Seconds after midnight of a clock text, up to `24:00`; null where it is none."""
+    pattern = r"^\s*([0-9]{1,2}):([0-5][0-9])(?::([0-5][0-9]))?(?:\.0*)?\s*$"
+    text = time.cast("string")
+
+    def part(k: int) -> Column:
+        return F.coalesce(F.regexp_extract(text, pattern, k).try_cast("int"), F.lit(0))
+
+    seconds = part(1) * 3600 + part(2) * 60 + part(3)
+    return F.when(text.rlike(pattern) & (seconds <= 86400), seconds)
+
+
 def _in_weeks(date: Column, weeks_of_month: Column) -> Column:
     week = F.ceil(F.dayofmonth(date) / 7).cast("string")
     listed = F.split(F.regexp_replace(weeks_of_month, " ", ""), ",")
@@ -35,23 +50,28 @@ def _in_weeks(date: Column, weeks_of_month: Column) -> Column:
 
 def in_force(local: Column, weekday: Column, start: Column, end: Column, weeks_of_month: Column) -> Column:
     """Whether the window holds at a local wall-clock time."""
-    clock = F.date_format(local, "HH:mm")
-    return (
-        (F.dayofweek(local) == weekday_number(weekday))
-        & _in_weeks(local, weeks_of_month)
-        & (clock >= start)
-        & (clock < end)
+    clock = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+    begins, ends = seconds_of_day(start), seconds_of_day(end)
+    overnight = ends <= begins
+
+    def starts_on(date: Column) -> Column:
+        return (F.dayofweek(date) == weekday_number(weekday)) & _in_weeks(date, weeks_of_month)
+
+    today, yesterday = F.to_date(local), F.date_sub(F.to_date(local), 1)
+    return (starts_on(today) & (clock >= begins) & (overnight | (clock < ends))) | (
+        starts_on(yesterday) & overnight & (clock < ends)
     )
 
 
 def next_start(local: Column, weekday: Column, start: Column, weeks_of_month: Column) -> Column:
     """First start of the window after a local wall-clock time."""
-    today = F.to_date(local)
+    today, begins = F.to_date(local), seconds_of_day(start)
+    clock = F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
     first = F.date_add(today, F.pmod(weekday_number(weekday) - F.dayofweek(today), F.lit(7)))
     dates = F.transform(F.sequence(F.lit(0), F.lit(WEEKS_AHEAD)), lambda k: F.date_add(first, k * 7))
     later = F.filter(
         dates,
-        lambda d: _in_weeks(d, weeks_of_month) & ((d > today) | (start > F.date_format(local, "HH:mm"))),
+        lambda d: _in_weeks(d, weeks_of_month) & ((d > today) | (begins > clock)),
     )
     day = F.try_element_at(later, F.lit(1))
-    return F.concat(day.cast("string"), F.lit(" "), start).try_cast("timestamp_ntz")
+    return day.cast("timestamp_ntz") + F.make_dt_interval(secs=begins.cast("decimal(18,6)"))

@@ -40,7 +40,7 @@ def signup_profiles(users: DataFrame) -> DataFrame:
 
 
 def add_profiles(profiles: DataFrame, users: DataFrame) -> DataFrame:
-    """Profile rows to append: one per user who has none yet."""
+    """Profile rows to append: exactly one per user who has none yet, also where times are equal or null."""
     inserted, _ = insert_if_absent(profiles, signup_profiles(users), ["id"], ["created_at"])
     return inserted
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 MAX_BROADCAST_BYTES = 16 * 1024 * 1024
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+HOT_SHARE = 10_000
 SALTS = 64
 UNKNOWN_BYTES = 1 << 63
 
@@ -33,18 +33,17 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with at least `hot_rows` rows, the heaviest first.
+    """Keys with at least `hot_rows` rows and a ten-thousandth of all rows.
 
-    Counting combines on the map side.  The list is capped, which bounds the
-    broadcast: a key beyond the cap holds under 1/10,000 of the rows and needs
-    no salt.  The cap affects the spread of work only, never the result.
+    Counting combines on the map side.  The share bounds the list, and with it
+    the broadcast, to 10,000 keys by arithmetic.
     """
+    least = df.select((F.count(F.lit(1)) / HOT_SHARE).alias("_least")).scalar()
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where((F.col("_n") >= hot_rows) & F.expr(" and ".join(f"`{k}` is not null" for k in keys)))
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
+        .where(F.col("_n") >= least)
         .select(*keys, F.lit(True).alias(_HOT))
     )
 

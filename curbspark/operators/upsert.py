@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbspark.operators.latest import first_per_key
 from curbspark.operators.skew import absent_from, unique_join
 
 CHANGE = "_change"
 _IN_TARGET, _IN_BATCH = "_in_target", "_in_batch"
+_COPIES = "_copies"
 
 
 def upsert(
@@ -80,12 +80,18 @@ def insert_if_absent(
 ) -> tuple[DataFrame, DataFrame]:
     """Split a batch into rows to append and rows whose key is already taken.
 
-    Within the batch the first row of a key by `order` gets in; all the others
-    are reported as already there, like rows whose key is in `target`.
+    Within the batch exactly one row of a key gets in: the first by `order`, where
+    null comes last, and of rows alike in it the first by all their columns.  All
+    the others are reported as already there, like rows whose key is in `target`;
+    of equal rows one is the first and the rest are not.
     """
-    first = first_per_key(batch.select(*keys, *[c for c in order if c not in keys]), keys, order)
-    fresh = absent_from(target, first, keys, **join_options)
-    place = [*keys, *[c for c in order if c not in keys]]
-    inserted = batch.join(fresh, place, "left_semi")
-    already = batch.join(fresh, place, "left_anti")
+    columns = batch.columns
+    place = [x for c in [*order, *columns] for x in (F.col(c).isNull(), F.col(c))]
+    different = batch.groupBy(*columns).agg(F.count(F.lit(1)).alias(_COPIES))
+    winner = F.min_by(F.struct(*columns), F.struct(*(x.alias(f"_{k}") for k, x in enumerate(place))))
+    first = different.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(winner.alias("_row")).select("_row.*")
+    inserted = absent_from(target, first, keys, **join_options)
+    marked = different.unionByName(inserted.withColumn(_COPIES, F.lit(-1).cast("long")))
+    left = marked.groupBy(*columns).agg(F.sum(_COPIES).alias(_COPIES)).where(F.col(_COPIES) > 0)
+    already = left.withColumn(_COPIES, F.explode(F.sequence(F.lit(1).cast("long"), F.col(_COPIES)))).select(*columns)
     return inserted, already

@@ -123,10 +123,10 @@ def schema_drift(feed: DataFrame, expected: Iterable[str]) -> DataFrame:
         seen.agg(
             F.array_except(F.array(*[F.lit(w) for w in wanted]), found).alias("missing"),
             F.count_if(~listed).alias("unexpected_fields"),
-            F.min(F.when(~listed, F.col("field"))).alias("first_unexpected"),
+            F.array_join(F.array_sort(F.collect_set(F.when(~listed, F.col("field")))), ",").alias("unexpected_names"),
         )
         .select(
-            F.concat_ws(",", "missing").alias("missing_fields"), "unexpected_fields", "first_unexpected"
+            F.concat_ws(",", "missing").alias("missing_fields"), "unexpected_fields", "unexpected_names"
         )
         .withColumn("drifted", (F.col("missing_fields") != "") | (F.col("unexpected_fields") > 0))
     )

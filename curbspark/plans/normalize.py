@@ -153,7 +153,8 @@ def project_spots(locations: DataFrame, source: str, at: Column) -> DataFrame:
     Keyed by (source, external_id).  The upsert should keep the status of known
     rows, which may stem from reports, and guard MOCK rows.
     """
-    street = F.regexp_extract("address", r"^(?:\d\S* )?([^,]+)", 1)
+    # A house number leads the line; an ordinal belongs to the street's name.
+    street = F.regexp_extract("address", r"(?i)^(?:(?!\d+(?:ST|ND|RD|TH)\b)\d\S* )?([^,]+)", 1)
     return locations.select(
         F.lit(source).alias("source"),
         F.col("source_id").alias("external_id"),

@@ -104,20 +104,27 @@ def allowed_now(spots: DataFrame, pairs_with_rule: DataFrame, sweeping: DataFram
     return joined.select("spot_id", (~blocked).alias("allowed"))
 
 
-def with_ring(zones: DataFrame) -> DataFrame:
-    """Zones with `ring`, the outer ring of their GeoJSON polygon as (lat, lng) structs."""
-    shape = F.from_json("boundary_geojson", "coordinates array<array<array<double>>>")
-    outer = F.get(shape["coordinates"], 0)
-    return zones.withColumn(
-        "ring", F.transform(outer, lambda p: F.struct(F.get(p, 1).alias("lat"), F.get(p, 0).alias("lng")))
-    )
+def with_rings(zones: DataFrame) -> DataFrame:
+    """Zones with `rings`: all rings of all parts of their GeoJSON polygon or multipolygon, as (lat, lng) structs."""
+    one = F.from_json("boundary_geojson", "coordinates array<array<array<double>>>")["coordinates"]
+    several = F.from_json("boundary_geojson", "coordinates array<array<array<array<double>>>>")["coordinates"]
+    kind = F.get_json_object("boundary_geojson", "$.type")
+    rings = F.when(kind == "MultiPolygon", F.flatten(several)).otherwise(one)
 
+    def located(ring: Column) -> Column:
+        return F.transform(ring, lambda p: F.struct(F.get(p, 1).alias("lat"), F.get(p, 0).alias("lng")))
 
-def in_ring(lat: Column, lng: Column, ring: Column) -> Column:
-    """Even-odd test of a point against a closed ring of (lat, lng) structs."""
-    sides = F.arrays_zip(
-        F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b")
-    )
+    return zones.withColumn("rings", F.transform(rings, located))
+
+
+def in_rings(lat: Column, lng: Column, rings: Column) -> Column:
+    """Even-odd test of a point against all closed rings: holes are outside, every part counts."""
+
+    def sides_of(ring: Column) -> Column:
+        last = F.greatest(F.size(ring) - 1, F.lit(0))
+        return F.arrays_zip(F.slice(ring, F.lit(1), last).alias("a"), F.slice(ring, F.lit(2), last).alias("b"))
+
+    sides = F.flatten(F.transform(rings, sides_of))
 
     def crossed(side: Column) -> Column:
         a, b = side["a"], side["b"]
@@ -133,27 +140,28 @@ def zones_of_points(
 ) -> DataFrame:
     """(spot_id, zone_id) for active zones whose boundary holds the spot.
 
-    `zones.ring` is a closed array of (lat, lng).  Zones are listed under each
+    `zones.rings` are closed arrays of (lat, lng).  Zones are listed under each
     grid cell of their bounding box, spots under their own cell, so only zones
     of the cell are tested.  A crowded cell is salted.  A large zone is listed
     many times, so the list is measured, by an aggregate over the zones alone,
     before it may be broadcast.
     """
-    lats, lngs = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lng"])
+    points = F.flatten("rings")
+    lats, lngs = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["lng"])
 
     def cell(degrees: Column) -> Column:
         return F.floor(degrees / cell_degrees)
 
     bounded = zones.where("is_active").select(
         F.col("id").alias("zone_id"),
-        "ring",
+        "rings",
         cell(F.array_min(lats)).alias("_south"),
         cell(F.array_max(lats)).alias("_north"),
         cell(F.array_min(lngs)).alias("_west"),
         cell(F.array_max(lngs)).alias("_east"),
     )
     cells = (F.col("_north") - F.col("_south") + 1) * (F.col("_east") - F.col("_west") + 1)
-    ring_bytes = F.size("ring") * _POINT_BYTES + _ZONE_BYTES
+    ring_bytes = F.size(F.flatten("rings")) * _POINT_BYTES + _ZONE_BYTES
     listed_bytes = bounded.agg(F.coalesce(F.sum(cells * ring_bytes), F.lit(0))).first()[0]
     listed = (
         bounded.withColumn("_row", F.explode(F.sequence("_south", "_north")))
@@ -173,7 +181,7 @@ def zones_of_points(
         ["_row", "_cell"],
         "inner",
         salt_by=["spot_id"],
-        condition=in_ring(F.col("latitude"), F.col("longitude"), F.col("ring")),
+        condition=in_rings(F.col("latitude"), F.col("longitude"), F.col("rings")),
         lookup_bytes=int(listed_bytes),
         **join_options,
     ).select("spot_id", "zone_id")
@@ -191,7 +199,7 @@ def zones_by_code(spots: DataFrame, zones: DataFrame, **join_options) -> DataFra
 def spot_context(
     spots: DataFrame, rules: DataFrame, sweeping: DataFrame, zones: DataFrame, now: Column, **join_options
 ) -> DataFrame:
-    """Per spot: number of rules, strictest one, next sweeping, zone, data age.
+    """Per spot: number of rules, strictest one, next sweeping, all zones, data age.
 
     Rules stay rows of `spot_rules`; here they are only aggregated, as a busy
     blockface has no bound on their number.  Each side is reduced to one row
@@ -204,7 +212,9 @@ def spot_context(
         F.max("imported_at").alias("rules_imported_at"),
     )
     per_sweep = spot_sweeping(spots, sweeping, now, **join_options).drop("blockface_id")
-    per_zone = zones_of_points(spots, zones, **join_options).groupBy("spot_id").agg(F.min("zone_id").alias("zone_id"))
+    per_zone = zones_of_points(spots, zones, **join_options).groupBy("spot_id").agg(
+        F.array_join(F.array_sort(F.collect_set("zone_id")).cast("array<string>"), ",").alias("zone_ids")
+    )
     ids = spots.select(F.col("id").alias("spot_id"))
     joined = ids.join(per_rule, "spot_id", "left").join(per_sweep, "spot_id", "left").join(per_zone, "spot_id", "left")
     return joined.select(
@@ -214,6 +224,6 @@ def spot_context(
         F.col("_strictest.regulation_type").alias("strictest_regulation"),
         F.coalesce("sweeping_now", F.lit(False)).alias("sweeping_now"),
         "next_sweeping",
-        "zone_id",
+        "zone_ids",
         "rules_imported_at",
     )

@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 
 # Datasets, in the order in which they are imported.
 DATASETS = ("blocks", "meters", "regulations")
-DEFAULT_ROW_LIMIT = 100
-MAX_ROW_LIMIT = 100_000
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Every record of a paged feed as (feed_pos, raw).
 
-    `feed_pos` is a struct of page name and place in the page; it sorts in
+    `feed_pos` is a struct of page path and place in the page; it sorts in
     feed order.  A page that is no JSON array fails the read.
     """
     pages = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("page"), F.col("value")
+        F.col("_metadata.file_path").alias("page"), F.col("value")
     )
     records = F.from_json("value", "array<string>")
     problem = F.concat(F.lit("expected a JSON array in "), F.col("page"))
@@ -38,14 +36,14 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every record of a feed landed as JSON lines, as (feed_pos, raw).
 
     Large files are split between tasks.  `feed_pos` sorts in feed order: by
-    file name, start of the split, and place within it.  Blank lines are no
+    file path, start of the split, and place within it.  Blank lines are no
     records.
     """
     return (
         spark.read.text(path)
         .select(
             F.struct(
-                F.col("_metadata.file_name").alias("page"),
+                F.col("_metadata.file_path").alias("page"),
                 F.col("_metadata.file_block_start").alias("split_start"),
                 F.monotonically_increasing_id().alias("item"),
             ).alias("feed_pos"),
@@ -56,19 +54,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_limit(limit: float | None = None, full: bool = False, default: float | None = None) -> int | None:
-    """Rows to import: an explicit limit, else the environment's, else the default.
+    """Rows to import: an explicit limit, else the environment's, else all of them.
 
-    A full import has no limit unless one is given; bad explicit limits are
-    errors, bad environment limits are ignored.
+    Limits hold as they are given.  Bad explicit limits are errors, bad
+    environment limits are ignored, and a full import ignores the environment's.
     """
     finite = float("inf")
     if limit is not None:
         if not 1 <= limit < finite:
             raise ValueError(f"invalid row limit: {limit}")
-        return int(min(limit, MAX_ROW_LIMIT))
-    if default is not None and 0 < default < finite:
-        return int(min(default, MAX_ROW_LIMIT))
-    return None if full else DEFAULT_ROW_LIMIT
+        return int(limit)
+    if default is not None and 1 <= default < finite and not full:
+        return int(default)
+    return None
 
 
 def limit_rows(feed: DataFrame, limit: int | None) -> DataFrame:

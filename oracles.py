@@ -438,7 +438,7 @@ oracle(
 )
 oracle(
     "schema_drift", "meter_feed",
-    "SELECT 'jurisdiction' AS missing_fields, count(DISTINCT field) AS unexpected_fields, min(field) AS first_unexpected,"
+    "SELECT 'jurisdiction' AS missing_fields, count(DISTINCT field) AS unexpected_fields, string_agg(DISTINCT field, ',' ORDER BY field) AS unexpected_names,"
     " true AS drifted FROM (SELECT unnest(json_keys(raw)) AS field FROM meter_feed) f WHERE field = 'streetname'",
 )
 oracle(
@@ -653,11 +653,11 @@ oracle(
 oracle(
     "spot_context", "faced_spots curb_rules sweeping_rules zones",
     """SELECT s.id AS spot_id, coalesce(c.n, 0) AS rule_count, t.rule_id AS strictest_rule_id,
-  t.regulation_type AS strictest_regulation, coalesce(sweeping_now, false) AS sweeping_now, next_sweeping, zone_id,
+  t.regulation_type AS strictest_regulation, coalesce(sweeping_now, false) AS sweeping_now, next_sweeping, zone_ids,
   c.imported AS rules_imported_at
 FROM faced_spots s LEFT JOIN (SELECT spot_id, count(*) AS n, max(imported_at) AS imported FROM detailed GROUP BY 1) c ON c.spot_id = s.id
 LEFT JOIN strictest t ON t.spot_id = s.id LEFT JOIN faces f ON f.blockface_id = s.blockface_id
-LEFT JOIN (SELECT spot_id, min(zone_id) AS zone_id FROM placed GROUP BY 1) z ON z.spot_id = s.id""",
+LEFT JOIN (SELECT spot_id, string_agg(CAST(zone_id AS VARCHAR), ',' ORDER BY zone_id) AS zone_ids FROM placed GROUP BY 1) z ON z.spot_id = s.id""",
     pairs=_PAIRS, detailed=_DETAILED, strictest=_STRICTEST, placed=_ZONES, **sweeping("2024-01-15 09:15:00"),
 )
 

@@ -746,7 +746,7 @@ def parking_allowed(spark, d):
 
 @query
 def zone_of_spot(spark, d):
-    zones = rules.with_ring(view(spark, d, "zones"))
+    zones = rules.with_rings(view(spark, d, "zones"))
     return rules.zones_of_points(view(spark, d, "faced_spots"), zones)
 
 
@@ -760,7 +760,7 @@ def spot_context(spark, d):
     now = wall_clock("2024-01-15 09:15:00")
     return rules.spot_context(
         view(spark, d, "faced_spots"), view(spark, d, "curb_rules"), view(spark, d, "sweeping_rules"),
-        rules.with_ring(view(spark, d, "zones")), now,
+        rules.with_rings(view(spark, d, "zones")), now,
     )
 
 

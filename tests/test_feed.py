@@ -66,13 +66,14 @@ def test_split_files_keep_their_order(spark, tmp_path):
 
 
 def test_row_limit():
-    assert feed.row_limit() == 100
+    assert feed.row_limit() is None
     assert feed.row_limit(full=True) is None
     assert feed.row_limit(7, full=True) == 7
-    assert feed.row_limit(10**9) == 100_000
+    assert feed.row_limit(10**9) == 10**9
+    assert feed.row_limit(full=True, default=30) is None
     assert feed.row_limit(default=30) == 30
     assert feed.row_limit(5, default=30) == 5
-    assert feed.row_limit(default=-1) == 100
+    assert feed.row_limit(default=-1) is None
     for bad in (0, -3, float("nan"), float("inf")):
         with pytest.raises(ValueError):
             feed.row_limit(bad)
@@ -296,7 +297,7 @@ def test_seed(spark, tmp_path):
 
 def test_drift(spark):
     row = city.schema_drift(feed_of(spark, [{"a": 1}, {"b": 2, "z": 3}]), ["a", "b", "c"]).collect()[0]
-    assert (row.missing_fields, row.unexpected_fields, row.first_unexpected, row.drifted) == ("c", 1, "z", True)
+    assert (row.missing_fields, row.unexpected_fields, row.unexpected_names, row.drifted) == ("c", 1, "z", True)
     assert not city.schema_drift(feed_of(spark, [{"a": 1}]), ["a"]).collect()[0].drifted
 
 

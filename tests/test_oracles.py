@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from oracles import ORACLES
+from registered import QUERIES
 from tests.support import DATA, oracle_connection, oracle_kinds, oracle_rows, spark_kinds, spark_rows
 
 SF = f"{DATA}/sf0.001"
@@ -16,14 +18,15 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
 # Their gate is a nested-loop join against at most one row.
 GATES = {"nearby_with_fallback", "nearby_without_fallback"}
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     sql = driver.oracle_sql()[name]
     result = driver.queries()[name](spark, SF)
