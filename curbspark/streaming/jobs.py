@@ -15,7 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from curbspark.functions.payload import sanitize_payload
 from curbspark.operators.changes import apply_fold, fold_changes, merge_folds, update_messages
 from curbspark.operators.latest import latest_per_key
-from curbspark.operators.reports import fresh_status, latest_status, set_status
+from curbspark.operators.reports import REJECT, check_reports, fresh_status, latest_status, set_status
 from curbspark.sources.tables import read_batches, write_batch
 
 
@@ -55,15 +55,31 @@ def compact_changes(spark: SparkSession, out: str, target: str, upto: int, key:
     merge_folds(done, key).write.mode("overwrite").parquet(target)
 
 
-def report_writer(reports: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
-    """Stream of reports to the latest well-formed report per spot and batch."""
+def report_writer(
+    reports: DataFrame, out: str, checkpoint: str, *, spots: DataFrame | None = None, checked: str | None = None
+) -> DataStreamWriter:
+    """Stream of reports to the latest well-formed report per spot and batch.
+
+    With `spots` and `checked`, every report is stored in the folder `checked`
+    too, with the reason why it is refused or null; both outputs of a batch are
+    replaced when it is replayed.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        if checked is not None:
+            write_batch(check_reports(batch, spots), checked, batch_id)
         write_batch(latest_status(batch), out, batch_id)
 
     return _writer(reports, "reports", checkpoint).foreachBatch(sink)
 
 
+def stored_reports(spark: SparkSession, checked: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted reports, rejected reports with their reason) of all batches."""
+    rows = read_batches(spark, checked).drop("batch_id")
+    accepted = rows.where(F.col(REJECT).isNull()).drop(REJECT)
+    return accepted, rows.where(F.col(REJECT).isNotNull())
+
+
 def spots_with_reports(
     spark: SparkSession, spots: DataFrame, out: str, at: Column | None = None, after: int = -1
 ) -> DataFrame:

@@ -665,6 +665,8 @@ LEFT JOIN (SELECT spot_id, string_agg(CAST(zone_id AS VARCHAR), ',' ORDER BY zon
 
 ORACLES["stream_change_feed"] = ORACLES["apply_change_feed"]
 ORACLES["stream_reports"] = ORACLES["apply_reports"]
+ORACLES["stream_accepted_reports"] = ORACLES["accepted_reports"]
+ORACLES["stream_rejected_reports"] = ORACLES["rejected_reports"]
 oracle(
     "stream_events", "analytics_events",
     "SELECT event_id AS id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id END AS user_id, event_type AS event_name,"

@@ -795,21 +795,36 @@ def _run_report_stream(spark, d) -> str:
         F.col("o_orderdate").alias("created_at"),
     )
     out = shared_dir(spark, "reports")
-    jobs.report_writer(incoming, f"{out}/batches", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return f"{out}/batches"
+    writer = jobs.report_writer(
+        incoming, f"{out}/batches", f"{out}/checkpoint", spots=view(spark, d, "spots"), checked=f"{out}/checked"
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return out
 
 
 @query
 def stream_reports(spark, d):
     out = _run_report_stream(spark, d)
-    return jobs.spots_with_reports(spark, view(spark, d, "spots"), out).select(SPOT)
+    return jobs.spots_with_reports(spark, view(spark, d, "spots"), f"{out}/batches").select(SPOT)
+
+
+@query
+def stream_accepted_reports(spark, d):
+    accepted, _ = jobs.stored_reports(spark, f"{_run_report_stream(spark, d)}/checked")
+    return accepted
+
+
+@query
+def stream_rejected_reports(spark, d):
+    _, rejected = jobs.stored_reports(spark, f"{_run_report_stream(spark, d)}/checked")
+    return rejected.select("id", reports.REJECT)
 
 
 @query
 def stream_report_freshness(spark, d):
     now = wall_clock("2001-08-02 00:00:00")
     out = _run_report_stream(spark, d)
-    fresh = jobs.fresh_spots(spark, view(spark, d, "spots"), out, now, ttl_minutes=60 * 24 * 30)
+    fresh = jobs.fresh_spots(spark, view(spark, d, "spots"), f"{out}/batches", now, ttl_minutes=60 * 24 * 30)
     return fresh.select("id", "status", "reported_at")
 
 
