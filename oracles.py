@@ -129,6 +129,13 @@ oracle(
     pairs=f"SELECT point_id, id, {haversine('point_latitude', 'point_longitude')} AS distance FROM points, spots",
 )
 
+oracle(
+    "nearest_per_point", "spots points",
+    f"""SELECT point_id, id, round(distance, 6) AS distance_miles, nearness FROM (SELECT *, CAST(row_number() OVER
+  (PARTITION BY point_id ORDER BY distance, id) AS INTEGER) AS nearness FROM pairs WHERE distance <= {MILES}) t WHERE nearness <= 3""",
+    pairs=f"SELECT point_id, id, {haversine('point_latitude', 'point_longitude')} AS distance FROM points, spots",
+)
+
 # --- favorites, users, events ---------------------------------------------
 
 

@@ -22,6 +22,7 @@ from curbspark.operators import (
 )
 from curbspark.operators.latest import latest_per_key
 from curbspark.operators.once import evaluate_once
+from curbspark.operators.radius_join import nearest_per_point as radius_join_nearest
 from curbspark.operators.radius_join import radius_join
 from curbspark.operators.upsert import insert_if_absent, upsert
 from curbspark.plans import city, ingest, normalize, rules
@@ -185,6 +186,15 @@ def radius_join_pairs(spark, d):
     return miles(pairs).select("point_id", "id", "distance_miles")
 
 
+@query
+def nearest_per_point(spark, d):
+    spots = view(spark, d, "spots").select("id", "latitude", "longitude")
+    near = radius_join_nearest(
+        view(spark, d, "points"), spots, MILES, 3, point_key="point_id", location_key="id"
+    )
+    return miles(near).select("point_id", "id", "distance_miles", "nearness")
+
+
 # --- favorites, users, events ---------------------------------------------
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbspark.operators import serving
-from curbspark.operators.radius_join import radius_join
+from curbspark.operators.radius_join import nearest_per_point, radius_join
 
 
 def miles(lat1, lng1, lat2, lng2):
@@ -91,3 +91,20 @@ def test_search_rules(spark):
     assert ids("oak") == [1, 2] and ids("  ") == [1, 2, 3] and ids("%") == [3] and ids(" oak ") == [2]
     assert serving.own_rows(spots, None, "id").count() == 0
     assert serving.by_chip(spots, "FAVORITES").count() == 0
+
+
+def test_nearest_per_point_is_the_head_of_all_pairs(spark):
+    """Also at the poles, across the date line, with ties and with fewer places than asked for."""
+    places = [(k, lat, lng) for k, (lat, lng) in enumerate([(89.999, 10.0), (89.999, -170.0), (90.0, 0.0), (0.0, 179.999), (0.0, -179.999), (0.0, 179.999), (37.0, -122.0), (-89.9995, 55.0)])]
+    points = [("north", 90.0, 33.0), ("line", 0.0, 180.0), ("city", 37.001, -122.001), ("south", -90.0, 0.0), ("none", 10.0, 10.0), ("bad", 91.0, 0.0)]
+    locations = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    asked = spark.createDataFrame(points, "point_id string, point_latitude double, point_longitude double")
+    pairs = radius_join(asked, locations, 1.0, location_key="id").collect()
+    wanted = set()
+    for point in {r.point_id for r in pairs}:
+        near = sorted((r.distance_miles, r.id) for r in pairs if r.point_id == point)[:2]
+        wanted |= {(point, place, k) for k, (_, place) in enumerate(near, 1)}
+    got = nearest_per_point(asked, locations, 1.0, 2, point_key="point_id", location_key="id")
+    assert {(r.point_id, r.id, r.nearness) for r in got.collect()} == wanted
+    assert {p for p, _, _ in wanted} == {"north", "line", "city", "south"}
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
