@@ -39,8 +39,9 @@ def shared_folder(spark: SparkSession) -> str:
 
     A local session without one gets a temporary folder; a cluster without one is refused.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
+    # Some sessions show core settings in the context's configuration only.
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="curbspark-")

@@ -266,6 +266,19 @@ def test_secret_empty(spark, tmp_path):
     assert secrets.op9_secret_scans(spark, write_empty_tables(spark, tmp_path)).count() == 0
 
 
+# Registration
+
+
+def test_one_query_for_each_operator():
+    import __spark_entry__
+
+    names = list(__spark_entry__.queries())
+    for n in range(1, 11):
+        assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
+    assert "pipeline" in names
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "jaccard_join", "mixing", "bpe"]
+
+
 # Pipeline
 
 
