@@ -63,6 +63,56 @@ def in_force(local: Column, weekday: Column, start: Column, end: Column, weeks_o
     )
 
 
+# Day names as feeds shorten them, Sunday first.
+DAY_NAMES = (("su", "sun"), ("m", "mon"), ("tu", "tue"), ("w", "wed"), ("th", "thu"), ("f", "fri"), ("sa", "sat"))
+
+
+def on_days(date: Column, days: Column) -> Column:
+    """Whether a list such as `Mon,Wed`, `M-F` or `Sat-Mon` names the date's weekday.
+
+    Null, blank and `daily` name every day, and so does a list without any
+    readable day: a rule that cannot be read is taken to hold.
+    """
+    text = F.lower(F.regexp_replace(days, r"\s", ""))
+    names = F.create_map(*[F.lit(x) for n, pair in enumerate(DAY_NAMES) for name in pair for x in (name, n)])
+
+    def number(name: Column) -> Column:
+        return F.coalesce(F.try_element_at(names, F.substring(name, 1, 3)), F.try_element_at(names, name))
+
+    spans = F.transform(
+        F.split(text, "[,;/&]"),
+        lambda t: F.struct(
+            number(F.split_part(t, F.lit("-"), F.lit(1))).alias("a"),
+            number(F.element_at(F.split(t, "-"), -1)).alias("b"),
+        ),
+    )
+    readable = F.filter(spans, lambda s: s.a.isNotNull() & s.b.isNotNull())
+    today = F.dayofweek(date) - 1
+    named = F.exists(readable, lambda s: F.pmod(today - s.a, F.lit(7)) <= F.pmod(s.b - s.a, F.lit(7)))
+    return F.coalesce((text == "") | (text == "daily") | (F.size(readable) == 0) | named, F.lit(True))
+
+
+def in_hours(local: Column, days: Column, hours: Column) -> Column:
+    """Whether a rule with days and hours such as `800-1800` or `8:00 - 18:00` holds at a local time.
+
+    Hours that end at or before their start run into the next day.  Null and
+    unreadable hours hold all day.
+    """
+    pattern = r"^\s*([0-9]{1,2}):?([0-5][0-9])\s*-\s*([0-9]{1,2}):?([0-5][0-9])\s*$"
+    clock = F.hour(local) * 60 + F.minute(local)
+
+    def minutes(k: int) -> Column:
+        return F.regexp_extract(hours, pattern, k).try_cast("int") * 60 + F.regexp_extract(hours, pattern, k + 1).try_cast("int")
+
+    begins, ends = minutes(1), minutes(3)
+    today, yesterday = F.to_date(local), F.date_sub(F.to_date(local), 1)
+    overnight = ends <= begins
+    timed = (on_days(today, days) & (clock >= begins) & (overnight | (clock < ends))) | (
+        on_days(yesterday, days) & overnight & (clock < ends)
+    )
+    return F.when(F.coalesce(hours.rlike(pattern), F.lit(False)), timed).otherwise(on_days(today, days))
+
+
 def next_start(local: Column, weekday: Column, start: Column, weeks_of_month: Column) -> Column:
     """First start of the window after a local wall-clock time."""
     today, begins = F.to_date(local), seconds_of_day(start)

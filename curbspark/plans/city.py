@@ -132,6 +132,21 @@ def schema_drift(feed: DataFrame, expected: Iterable[str]) -> DataFrame:
     )
 
 
+def drift_fields(feed: DataFrame, expected: Iterable[str]) -> DataFrame:
+    """(field, state, records): a row for each expected field that no record has and each field nobody expected."""
+    wanted = F.array(*[F.lit(w) for w in sorted(set(expected))])
+    named = feed.sparkSession.range(1).select(F.explode(wanted).alias("field"), F.lit(True).alias("_wanted"))
+    seen = feed.select(F.explode(F.json_object_keys("raw")).alias("field")).groupBy("field").agg(
+        F.count(F.lit(1)).alias("_records")
+    )
+    state = F.when(F.col("_records").isNull(), "missing").when(F.col("_wanted").isNull(), "unexpected")
+    return (
+        seen.join(named, "field", "full")
+        .select("field", state.alias("state"), F.coalesce("_records", F.lit(0)).alias("records"))
+        .where("state is not null")
+    )
+
+
 class _Stage:
     """Writes each step of an import once and reads it back, or neither when dry.
 

@@ -91,10 +91,12 @@ def spot_sweeping(spots: DataFrame, sweeping: DataFrame, now: Column, **join_opt
 
 
 def allowed_now(spots: DataFrame, pairs_with_rule: DataFrame, sweeping: DataFrame, now: Column, **join_options) -> DataFrame:
-    """(spot_id, allowed): no sweeping in force and no standing no-parking rule."""
+    """(spot_id, allowed): no sweeping in force and no no-parking rule within its days and hours."""
+    holds = schedule.in_hours(now, F.col("days_of_week"), F.col("hours"))
     banned = (
-        pairs_with_rule.groupBy("spot_id")
-        .agg(F.bool_or(F.col("regulation_type") == NO_PARKING).alias("_banned"))
+        pairs_with_rule.where(F.col("regulation_type") == NO_PARKING)
+        .groupBy("spot_id")
+        .agg(F.bool_or(holds).alias("_banned"))
     )
     swept = spot_sweeping(spots, sweeping, now, **join_options).select("spot_id", "sweeping_now")
     joined = (

@@ -165,6 +165,8 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL
   CASE p_partkey % 4 WHEN 0 THEN 'RPP' WHEN 1 THEN 'TIME_LIMITED' WHEN 2 THEN 'NO_PARKING' ELSE 'LOADING' END AS regulation_type,
   p_size % 5 AS priority, {_PLAT} + 0.0001e0 AS anchor_latitude, {_PLNG} AS anchor_longitude,
   p_partkey % 13 <> 0 AS is_active,
+  CASE p_partkey % 5 WHEN 0 THEN 'Mon-Fri' WHEN 1 THEN 'Sat,Sun' WHEN 2 THEN 'M-F' WHEN 3 THEN 'Su' END AS days_of_week,
+  CASE p_partkey % 3 WHEN 0 THEN '800-1800' WHEN 1 THEN '22:00 - 9:30' END AS hours,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(p_partkey % 999 AS INT) AS imported_at
 FROM {{part}}"""
 

@@ -448,6 +448,11 @@ oracle(
     "SELECT 'jurisdiction' AS missing_fields, count(DISTINCT field) AS unexpected_fields, string_agg(DISTINCT field, ',' ORDER BY field) AS unexpected_names,"
     " true AS drifted FROM (SELECT unnest(json_keys(raw)) AS field FROM meter_feed) f WHERE field = 'streetname'",
 )
+oracle(
+    "schema_drift_fields", "meter_feed",
+    "SELECT field, 'unexpected' AS state, count(*) AS records FROM (SELECT unnest(json_keys(raw)) AS field FROM meter_feed) f"
+    " WHERE field = 'streetname' GROUP BY 1 UNION ALL SELECT 'jurisdiction', 'missing', 0",
+)
 oracle(
     "city_spot_projection", "spots meter_feed",
     f"""SELECT coalesce(o.source, l.source) AS source, coalesce(o.external_id, l.external_id) AS external_id,
@@ -644,7 +649,10 @@ oracle(
 )
 oracle(
     "parking_allowed", "faced_spots curb_rules sweeping_rules",
-    "SELECT s.id AS spot_id, NOT (coalesce(sweeping_now, false) OR s.id IN (SELECT spot_id FROM detailed WHERE regulation_type = 'NO_PARKING'))"
+    "SELECT s.id AS spot_id, NOT (coalesce(sweeping_now, false) OR s.id IN (SELECT spot_id FROM detailed WHERE regulation_type = 'NO_PARKING'"
+    # Monday, 09:15: day windows and those of the night from Sunday.
+    " AND CASE WHEN hours IS NULL OR hours = '800-1800' THEN days_of_week IS NULL OR days_of_week IN ('Mon-Fri', 'M-F')"
+    " ELSE days_of_week IS NULL OR days_of_week IN ('Sat,Sun', 'Su') END))"
     " AS allowed FROM faced_spots s LEFT JOIN faces f ON f.blockface_id = s.blockface_id",
     pairs=_PAIRS, detailed=_DETAILED, **sweeping("2024-01-15 09:15:00"),
 )

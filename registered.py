@@ -571,6 +571,12 @@ def schema_drift(spark, d):
     return city.schema_drift(view(spark, d, "meter_feed"), expected)
 
 
+@query
+def schema_drift_fields(spark, d):
+    expected = [*[n for n in FIELD_NAMES if n != "streetname"], "jurisdiction"]
+    return city.drift_fields(view(spark, d, "meter_feed"), expected)
+
+
 @query
 def city_spot_projection(spark, d):
     """City rows projected onto the spot table; MOCK rows stay untouched."""

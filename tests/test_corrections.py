@@ -97,3 +97,33 @@ def test_ordinal_streets_keep_their_names(spark):
     schema = "source_id string, address string, latitude double, longitude double, parking_type string, time_limit string"
     spots = normalize.project_spots(spark.createDataFrame(rows, schema), "CITY", F.lit(None).cast("timestamp"))
     assert [r.street_name for r in spots.orderBy("external_id").collect()] == ["3RD ST", "24TH ST", "24th St", "Main St", "Main St"]
+
+
+@pytest.mark.parametrize(
+    ("at", "days", "hours", "holds"),
+    [
+        ("2024-01-15 09:15:00", None, None, True),  # a Monday
+        ("2024-01-15 09:15:00", "Mon,Wed", "800-1800", True),
+        ("2024-01-15 18:00:00", "Mon,Wed", "800-1800", False),
+        ("2024-01-16 09:15:00", "Mon,Wed", "800-1800", False),
+        ("2024-01-15 09:15:00", "M-F", "8:00 - 18:00", True),
+        ("2024-01-15 09:15:00", "Sat-Mon", None, True),
+        ("2024-01-17 09:15:00", "Sat - Mon", None, False),
+        ("2024-01-16 01:00:00", "Monday", "2200-600", True),
+        ("2024-01-15 01:00:00", "Monday", "2200-600", False),
+        ("2024-01-15 09:15:00", "Daily", "all day", True),
+        ("2024-01-15 09:15:00", "holidays", "", True),
+    ],
+)
+def test_rule_hours(spark, at, days, hours, holds):
+    row = spark.createDataFrame([(at, days, hours)], "at string, d string, h string")
+    got = row.select(schedule.in_hours(F.col("at").cast("timestamp_ntz"), F.col("d"), F.col("h"))).first()[0]
+    assert got == holds
+
+
+def test_drift_names_every_field(spark):
+    from curbspark.plans import city
+
+    feed = spark.createDataFrame([('{"a":1,"z":2}',), ('{"a":1,"y":2,"z":3}',)], "raw string")
+    got = {(r.field, r.state, r.records) for r in city.drift_fields(feed, ["a", "b"]).collect()}
+    assert got == {("b", "missing", 0), ("y", "unexpected", 1), ("z", "unexpected", 2)}
