@@ -29,7 +29,6 @@ from curbspark.plans import city, ingest, normalize, rules
 from curbspark.session import shared_dir
 from curbspark.sources import registry
 from curbspark.sources.feed import limit_rows
-from curbspark.sources.tables import with_utc_time
 from curbspark.streaming import jobs
 from fixtures import view
 

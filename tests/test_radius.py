@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from curbspark.operators import serving
 from curbspark.operators.radius_join import nearest_per_point, radius_join
