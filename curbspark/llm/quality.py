@@ -37,14 +37,21 @@ _PUNCT = r"([\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E])"
 
 
 def with_pairs(docs: DataFrame) -> DataFrame:
-    """docs with _pairs: each token (t) and its successor (next); the last token has none, its pair is the token alone."""
+    """docs without text, a row for each token: _pos, and _pair of the token (t) and its successor (next).
+
+    The last token has no successor, its pair is the token alone. A text without
+    tokens gives one row of nulls. Rows keep the work in generated code; lambdas
+    over arrays cost several times as much.
+    """
     return (
         docs.withColumn("_tokens", words_of(F.regexp_replace(whole_text(), _PUNCT, " $1 ")))
         .withColumn(
             "_pairs",
             F.arrays_zip(F.col("_tokens").alias("t"), F.expr("slice(_tokens, 2, size(_tokens))").alias("next")),
         )
-        .drop("_tokens")
+        .drop("_tokens", "text")
+        .select("*", F.posexplode_outer("_pairs").alias("_pos", "_pair"))
+        .drop("_pairs")
     )
 
 
@@ -68,10 +75,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
         .withColumn("_trusted", F.lit(1))
     )
     counts = (
-        with_pairs(docs.select("doc_id", "text"))
-        .join(F.broadcast(trusted), "doc_id", "left")
-        .select("_trusted", F.explode("_pairs").alias("p"))
-        .select("_trusted", F.explode(F.array(bucket("p.t"), bucket("p.t", "p.next"))).alias("bucket"))
+        with_pairs(docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left"))
+        .where("_pos is not null")
+        .select("_trusted", F.explode(F.array(bucket("_pair.t"), bucket("_pair.t", "_pair.next"))).alias("bucket"))
         .groupBy("bucket")
         .agg(F.count("*").alias("raw"), F.count("_trusted").alias("target"))
         .withColumns({"n_raw": F.expr("sum(raw) over ()"), "n_target": F.expr("sum(target) over ()")})
@@ -147,27 +153,35 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs with the measures, score and kept."""
+    """doc_id, text_hash, the measures, score and kept of every row of docs."""
     # One literal array; a list literal would cross to the JVM element by element.
     ratios = F.split(F.lit(",".join(f"{x:.6g}" for x in log_ratios(docs, labels))), ",").cast("array<double>")
+    measures = measured(docs.select("doc_id", "text", F.xxhash64(whole_text()).alias("text_hash")))
     ratio = lambda *ngram: F.get(ratios, bucket(*ngram))
-    total = F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + ratio(p.t) + ratio(p.t, p.next))
+    known = F.col("_pos").isNotNull()
+    total = F.sum(F.when(known, ratio("_pair.t") + ratio("_pair.t", "_pair.next")))
     return (
-        with_pairs(measured(docs))
-        .withColumn("score", F.coalesce(F.try_divide(total, 2 * F.size("_pairs")), F.lit(0.0)))
-        .drop("_pairs")
+        with_pairs(measures)
+        .groupBy([c for c in measures.columns if c != "text"])
+        .agg(
+            F.coalesce(F.try_divide(total, 2 * F.count("_pos")), F.lit(0.0)).alias("score"),
+            # Rows that agree in all of these meet in one group and come out as often as they went in.
+            F.count(F.when(F.coalesce("_pos", F.lit(0)) == 0, 1)).alias("_rows"),
+        )
         .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= min_score))
+        .withColumn("_rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+        .drop("_rows")
     )
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judged(docs, table(spark, sf_dir, "labels")).drop("text")
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, columns as they came."""
     inner, back = shielded(docs, "doc_id", "text")
-    # A plain filter would be pushed below all projections, with every expression copied into it.
-    verdict = F.explode(F.array("kept")).alias("_verdict")
-    return back(judged(inner, table(spark, sf_dir, "labels")).select("*", verdict).where("_verdict"))
+    # Verdicts are narrow, and equal texts of one id get the same one.
+    good = judged(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id"), "text_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("text_hash"))
+    return back(inner.join(good, same, "left_semi"))
