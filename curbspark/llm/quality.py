@@ -182,6 +182,12 @@ def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, columns as they came."""
     inner, back = shielded(docs, "doc_id", "text")
     # Verdicts are narrow, and equal texts of one id get the same one.
-    good = judged(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id"), "text_hash")
+    verdict = F.explode(F.array("kept")).alias("_verdict")
+    good = (
+        judged(docs, table(spark, sf_dir, "labels"))
+        # A plain filter would be pushed below the measures, with every expression of theirs copied into it.
+        .select(F.col("doc_id").alias("_id"), "text_hash", verdict)
+        .where("_verdict")
+    )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole_text()) == F.col("text_hash"))
     return back(inner.join(good, same, "left_semi"))
