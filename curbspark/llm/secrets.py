@@ -35,6 +35,8 @@ from curbspark.llm.common import table
 KINDS = ("assign", "access", "hex", "repo_token", "package_token", "web_token", "chat_token", "cloud_key", "private_key")
 BASE = KINDS[:3]
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
+#: Rows whose bytes are classified at a time.
+ROWS = 256
 
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -138,7 +140,7 @@ def _with_hex_run(texts: pa.Array) -> np.ndarray:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     written = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-    for batch in batches:
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         texts = batch.column("text").cast(pa.string()).fill_null("")
         counts, digests, listed = [], [], []
         for text, hexed in zip(texts, _with_hex_run(texts), strict=True):
