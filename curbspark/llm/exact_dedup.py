@@ -42,7 +42,8 @@ def normalised(text: Column) -> Column:
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns(
         {
-            "_head": F.substring(normalised(F.substring(whole_text(), 1, 8 * HEAD_CHARS)), 1, HEAD_CHARS),
+            # Of the whole normalised text, so that equal texts have equal heads whatever white space they begin with.
+            "_head": F.substring(normalised(whole_text()), 1, HEAD_CHARS),
             "text_sha256": F.sha2(normalised(whole_text()), 256),
             "_id": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)),
         }

@@ -108,6 +108,25 @@ def test_dedup_groups(spark, ranges):
     assert set(kept.values()) == {1}
 
 
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_dedup_with_long_white_space(spark, ranges):
+    """Equal texts whose white space outruns any prefix, and texts that sort between their first characters."""
+    texts = []
+    for space in (" " * 200, "\n" * 200, " \t" * 100):
+        texts += [f"Title{space}body text of some length", f"{space}one two three four five", f"a{space}b{space}c"]
+    texts += ["Title body text of some length", " one two three four five", "a b c"]
+    texts += [f"Title {c}" for c in "abc"] + [f" {c} x" for c in "abmn"] + [f"a {c}" for c in "ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = collections.defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[normalised(t)].append(k)
+    wanted = {k: (ids[0], len(ids), k == ids[0]) for ids in groups.values() for k in ids}
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, ranges).collect()}
+    assert got == wanted
+    assert {r.doc_id for r in exact_dedup.without_copies(docs, ranges).collect()} >= {ids[0] for ids in groups.values()}
+    assert exact_dedup.without_copies(docs, ranges).count() == len(groups)
+
+
 def test_dedup_agrees_with_sql(spark):
     assert_same(spark, SMALL, exact_dedup.op2_exact_dedup, exact_dedup.OP2_SQL)
 
