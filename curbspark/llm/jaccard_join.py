@@ -19,7 +19,9 @@ any run is found, a recall above that of the runs alone.
 Words are runs of other than ASCII white space. A text of one to four words has
 one shingle of them all; one without words has no links and is a class of its
 own. Null counts as empty, a null doc_id as the largest one. Repeated rows are
-copies of each other. An empty table gives an empty result.
+copies of each other. Ids may repeat or be null: a set has a number of its own, and
+of a class the row of least id stays, then of least text digest. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curbspark.llm.common import shielded, staged, table
+from curbspark.llm.common import shielded, staged, table, whole_text
 from curbspark.llm.components import components
 from curbspark.llm.shingles import COORDINATES, shingle_sets, signature
 
@@ -76,32 +78,43 @@ def _to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("text_key"),
                 pa.array(size, pa.int32()),
                 pa.array(digest, pa.binary()),
                 pa.array(least, pa.list_(pa.int32())),
             ],
-            ["doc_id", "size", "digest", "signature"],
+            ["doc_id", "text_key", "size", "digest", "signature"],
         )
 
 
+def _named() -> list[Column]:
+    """doc_id and text_key: together they name a row, as ids may repeat or be null."""
+    return [
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        F.unhex(F.sha2(whole_text(), 256)).alias("text_key"),
+    ]
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, digest and signature of every text's shingle set."""
-    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(
-        _to_sets, "doc_id long, size int, digest binary, signature array<int>"
+    """doc_id, text_key, size, digest and signature of every text's shingle set."""
+    return docs.select(*_named(), "text").mapInArrow(
+        _to_sets, "doc_id long, text_key binary, size int, digest binary, signature array<int>"
     )
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
-    """One row for each different set with shingles: set_id (its least doc_id), copies, size, signature."""
+    """One row for each different set with shingles: set_id (a number of its own, fixed once the rows are staged),
+    digest, doc_id and text_key of its least row, copies, size, signature."""
     return (
         rows.where("size > 0")
         .groupBy("digest")
         .agg(
-            F.min("doc_id").alias("set_id"),
+            F.min(F.struct("doc_id", "text_key")).alias("_least"),
             F.count("*").alias("copies"),
             F.any_value("size").alias("size"),
             F.any_value("signature").alias("signature"),
         )
+        .select(F.monotonically_increasing_id().alias("set_id"), "digest", "_least.*", "copies", "size", "signature")
     )
 
 
@@ -296,17 +309,19 @@ def _linked(group: pa.Table) -> pa.RecordBatch:
 
 def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
     """set_id, set_links, doc_links, root of each set of a group, one row for each pair of blocks it is in."""
-    member = sets.join(groups, sets.set_id == groups.node).select("set_id", "copies", "size", "digest", "component")
+    member = sets.join(groups, sets.set_id == groups.node).select(
+        "set_id", "doc_id", "text_key", "copies", "size", "digest", "component"
+    )
     totals = member.groupBy("component").agg(F.count("*").alias("_n"), F.sum("size").alias("_shingles"))
     member = member.join(totals, "component").withColumn(
         "_wanted", F.greatest(F.ceil(F.col("_n") / BLOCK_SETS), F.ceil(F.col("_shingles") / BLOCK_SHINGLES))
     )
-    text = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("set_id"), "text")
     hashed = (
-        text.join(member.select("set_id", "component", "copies", "digest", "_wanted"), "set_id")
+        docs.select(*_named(), "text")
+        .join(member.drop("size", "_n", "_shingles"), ["doc_id", "text_key"])
         .select("set_id", "component", "copies", "_wanted", "text", "digest")
         .mapInArrow(_with_hashes, "set_id long, component long, copies long, _wanted long, hashes binary")
-        # Rows that share the id may share the text too.
+        # Rows that share the id and the text.
         .dropDuplicates(["component", "set_id"])
     )
     rows = _in_blocks(hashed, F.col("_wanted")).select("component", "_i", "_j", "_block", "set_id", "copies", "hashes")
@@ -315,41 +330,65 @@ def exact_links(docs: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFram
     )
 
 
-def joined(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
-    """doc_id, class_id (the least doc_id that it hangs together with by links), n_links (documents at least as
-    similar as the threshold) and n_set_links (different shingle sets among them) of every document."""
+def _classed(docs: DataFrame, recall: float) -> DataFrame:
+    """doc_id, text_key, class_id, stays (it is the least row of its class), n_links and n_set_links of every document."""
     rows = staged(signed(docs), "sets")
     sets = staged(set_classes(rows), "sets")
     groups = components(loose_edges(sets, runs_needed(recall)), "loose")
     links = staged(exact_links(docs, sets, groups), "links")
-    found = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")), "links")
+    found = components(links.select(F.col("set_id").alias("a"), F.col("root").alias("b")), "links").withColumnRenamed(
+        "node", "set_id"
+    )
+    # As a table of its own, so that the join below can split a hot class.
+    least = staged(
+        found.join(sets.select("set_id", "doc_id", "text_key"), "set_id")
+        .groupBy("component")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("_least")),
+        "links",
+    )
     sums = links.groupBy("set_id").agg(F.sum("set_links").alias("n_set_links"), F.sum("doc_links").alias("_doc_links"))
     per_set = (
-        sets.select("digest", "set_id", "copies")
+        sets.select("digest", "set_id", "doc_id", "text_key", "copies")
         .join(sums, "set_id", "left")
-        .join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
+        .join(found.join(least, "component").select("set_id", "_least"), "set_id", "left")
         .select(
             "digest",
-            F.coalesce("component", "set_id").alias("_class"),
+            F.coalesce("_least.doc_id", "doc_id").alias("_class"),
+            F.coalesce("_least.text_key", "text_key").alias("_class_key"),
             (F.coalesce("_doc_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"),
         )
     )
-    return rows.select("doc_id", "digest").join(per_set, "digest", "left").select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
-        F.nullif(F.coalesce("_class", "doc_id"), F.lit(NO_ID)).alias("class_id"),
+    return rows.select("doc_id", "text_key", "digest").join(per_set, "digest", "left").select(
+        "doc_id",
+        "text_key",
+        F.coalesce("_class", "doc_id").alias("class_id"),
+        F.coalesce((F.col("_class") == F.col("doc_id")) & (F.col("_class_key") == F.col("text_key")), F.lit(True)).alias("stays"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"),
     )
 
 
+def joined(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
+    """doc_id, class_id (the least doc_id that it hangs together with by links), n_links (documents at least as
+    similar as the threshold) and n_set_links (different shingle sets among them) of every document."""
+    return _classed(docs, recall).select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+        F.nullif("class_id", F.lit(NO_ID)).alias("class_id"),
+        "n_links",
+        "n_set_links",
+    )
+
+
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
 
 
 def join_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class, columns as they came. Rows that share an id stay or go together."""
-    keep = joined(docs).where("doc_id <=> class_id").select("doc_id").distinct()
+    """The least document of each class, columns as they came. Rows that share id and text stay or go together."""
+    keep = _classed(docs, TARGET_RECALL).where("stays").select("doc_id", "text_key").distinct()
     inner, back = shielded(docs, "doc_id", "text")
-    kept = keep.withColumnRenamed("doc_id", "_kept")
-    return back(inner.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi"))
+    # Names that no column of inner has.
+    kept = keep.select(F.col("doc_id").alias("_kept"), F.col("text_key").alias("_kept_key"))
+    doc_id, text_key = _named()
+    return back(inner.join(kept, (doc_id == F.col("_kept")) & (text_key == F.col("_kept_key")), "left_semi"))

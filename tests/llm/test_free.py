@@ -198,6 +198,32 @@ def test_join_edges(spark, tmp_path):
     assert jaccard_join.op7_jaccard_join(spark, write_empty_tables(spark, tmp_path)).count() == 0
 
 
+def test_join_keeps_sets_with_null_and_shared_ids_apart(spark):
+    """Families of near copies under null ids, one shared id and ids of their own, against brute force."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(24):
+        base = [f"v{k}w{rng.randrange(5000)}" for _ in range(120)]
+        near = base[:-1] + ["changed"]
+        other = ["begins", *base[1:]]
+        # Null alone; null with null; a null row whose near copy has an id; all of one shared id; a shared id and a lower one.
+        ids = [(None,), (None, None, None), (None, 100 + k), (7, 7), (7, k % 5)][k % 5]
+        rows += [(i, " ".join(t)) for i, t in zip(ids, (base, near, other), strict=False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = docs.collect()
+    links, classes = brute_links(rows)
+    members = collections.defaultdict(list)
+    for r, c in zip(rows, classes, strict=True):
+        members[c].append(r)
+    least = {c: min((r.doc_id for r in m if r.doc_id is not None), default=None) for c, m in members.items()}
+    wanted = collections.Counter((r.doc_id, least[c], n) for r, c, n in zip(rows, classes, links, strict=True))
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.joined(docs).collect()) == wanted
+    stay = jaccard_join.join_stage(spark, docs, SMALL).collect()
+    of_text = {r.text: c for r, c in zip(rows, classes, strict=True)}
+    assert sorted(of_text[r.text] for r in stay) == sorted(members)
+    assert all(r.doc_id == least[of_text[r.text]] for r in stay)
+
+
 def test_shingle_sets_follow_words():
     texts = [t if t is not None and len(t) < 5000 else "" for t in EDGE_TEXTS] + ["b a"] * 2
     got = list(shingles.shingle_sets(pa.array(texts)))
