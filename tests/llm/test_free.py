@@ -224,6 +224,35 @@ def test_join_keeps_sets_with_null_and_shared_ids_apart(spark):
     assert all(r.doc_id == least[of_text[r.text]] for r in stay)
 
 
+def test_join_sees_links_between_groups_of_a_bucket():
+    """Two members that other sets hold already are similar to each other only; and random buckets against all pairs."""
+    rng = np.random.default_rng(6)
+
+    def connected(sig):
+        n = len(sig)
+        group = pa.table({"set_id": pa.array(range(n), pa.int64()), "signature": pa.array(sig.tolist(), pa.list_(pa.int32()))})
+        out = jaccard_join._hang_together(group)
+        root = {i: i for i in range(n)} | (dict(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) if out else {})
+        return [root[i] for i in range(n)]
+
+    p, q, x, y = np.arange(256, dtype=np.int32).reshape(4, 64)
+    p[23:], y[:41] = x[23:], x[:41]
+    q[23:] = y[23:]
+    bucket = np.array([p, q, x, y])
+    assert (bucket[:, None] == bucket[None]).sum(2).tolist() == [[64, 18, 41, 18], [18, 64, 18, 41], [41, 18, 64, 41], [18, 41, 41, 64]]
+    assert connected(bucket) == [0, 0, 0, 0]
+    for _ in range(40):
+        centres = rng.integers(0, 1 << 30, (6, 64), dtype=np.int32)
+        sig = centres[rng.integers(0, 6, 60)]
+        mixed = rng.random(sig.shape) < rng.choice([0.1, 0.25, 0.4], (60, 1))
+        sig = np.where(mixed, centres[rng.integers(0, 6, (60, 1)), np.arange(64)], sig)
+        wanted = list(range(60))
+        near = (sig[:, None] == sig[None]).sum(2) >= jaccard_join.LEAST_EQUAL
+        for _ in range(60):
+            wanted = [min(wanted[j] for j in np.flatnonzero(near[i])) for i in range(60)]
+        assert connected(sig) == wanted
+
+
 def test_shingle_sets_follow_words():
     texts = [t if t is not None and len(t) < 5000 else "" for t in EDGE_TEXTS] + ["b a"] * 2
     got = list(shingles.shingle_sets(pa.array(texts)))
