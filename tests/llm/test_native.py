@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -190,6 +191,23 @@ def test_pii_base_spans(spark):
     assert got == wanted
 
 
+def test_pii_hints_hold_for_every_match(spark):
+    """A text with a strict or loose match of a kind meets that kind's hint; such a match is proposed wherever it stands."""
+    rng = random.Random(9)
+    parts = ["1", "23", "456", "7890", "a", "x.y", "@", "[at]", "(at)", "[dot]", "+", "00", *"().,:_-/ ", "  ", "- "]
+    texts = ["10-0-0-1", "10,0,0,1", "4111.1111.1111.1111", "4111  1111  1111  1111", "4111 - 1", "+1-2", "+12345", "123456", "1(((((2"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(3, 30))) for _ in range(4000)]
+    texts += ["".join(rng.choice("0123456789./_- ") for _ in range(40)) for _ in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kind, g in pii.GENERATORS.items():
+        for pattern in (g.strict, g.loose):
+            passed = pii.stands(F.lit(kind), F.regexp_extract("text", pattern, 0)) if pattern == g.strict else F.lit(True)
+            missed = docs.where(F.col("text").rlike(pattern) & passed & ~F.col("text").rlike(g.hint))
+            assert [r.text for r in missed.limit(5).collect()] == [], (kind, pattern)
+    found = {(r.doc_id, r.kind) for r in pii.matches(docs.where("doc_id < 4")).where("not strict").collect()}
+    assert found >= {(0, "ip"), (1, "ip"), (2, "card"), (3, "card")}
+
+
 def test_pii_empty(spark, tmp_path):
     assert pii.op3_pii(spark, write_empty_tables(spark, tmp_path)).count() == 0
 
