@@ -208,6 +208,15 @@ def test_pii_hints_hold_for_every_match(spark):
     assert found >= {(0, "ip"), (1, "ip"), (2, "card"), (3, "card")}
 
 
+def test_pii_copies_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MAX_TRAINING", 150)
+    texts = [t for k in range(100) for t in (f"write to user{k}@mail.org now", f"row {1000003 * (k + 7)} of it")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first = pii.candidates(docs).where("loose").orderBy("_pick").first().doc_id
+    copies = spark.createDataFrame([(1000 + k, texts[first]) for k in range(400)], "doc_id long, text string")
+    assert pii.trained(pii.candidates(docs.unionByName(copies))) is not None
+
+
 def test_pii_empty(spark, tmp_path):
     assert pii.op3_pii(spark, write_empty_tables(spark, tmp_path)).count() == 0
 
