@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curbspark.llm import bpe, chat, exact_dedup, html_text, jaccard_join, mixing, pii, quality, secrets, toxicity
+from curbspark.llm import bpe, chat, exact_dedup, html_text, jaccard_join, mixing, pii, quality, secrets, spelling, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_mixing": mixing.op10_mixing,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
 }
