@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from curbspark.llm import bpe, chat, exact_dedup, html_text, jaccard_join, mixing, pii, quality, secrets, spelling, toxicity
+from curbspark.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    hard_negatives,
+    html_text,
+    jaccard_join,
+    language,
+    mixing,
+    pii,
+    quality,
+    secrets,
+    spelling,
+    toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,10 +30,13 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_mixing": mixing.op10_mixing,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_language_id": language.op12_language_id,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op5_chat_formatting": chat.OP5_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_spelling_variants": spelling.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
