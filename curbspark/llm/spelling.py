@@ -91,7 +91,7 @@ def _powers(n: int) -> np.ndarray:
 
 def _sums(letters: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Reduced words, their prefix hashes and the powers of the base."""
-    reduced = (letters % symbols).astype(_U) + _U(1)
+    reduced = letters.astype(_U) % _U(symbols) + _U(1)
     powers = _powers(letters.shape[1] + 1)
     sums = np.zeros((len(letters), letters.shape[1] + 1), _U)
     np.cumsum(reduced * powers[:-1], axis=1, out=sums[:, 1:])

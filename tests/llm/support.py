@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import pathlib
 import re
 
 import duckdb
@@ -49,7 +50,7 @@ def write_edge_tables(spark, folder) -> str:
 
 
 def write_empty_tables(spark, folder) -> str:
-    for name in ("documents", "labels", "conversations", "pages"):
+    for name in ("documents", "labels", "conversations", "pages", "embeddings"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
@@ -57,8 +58,8 @@ def write_empty_tables(spark, folder) -> str:
 def assert_same(spark, sf_dir: str, query, sql: str) -> None:
     """The query's rows are the SQL's, as multisets."""
     con = duckdb.connect()
-    for name in ("documents", "labels", "conversations", "pages"):
-        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    for path in pathlib.Path(sf_dir).glob("*.parquet"):
+        con.sql(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}{'/*.parquet' if path.is_dir() else ''}'")
     got, wanted = query(spark, sf_dir), con.sql(sql)
     columns = sorted(wanted.columns)
     assert sorted(got.columns) == columns
