@@ -83,25 +83,19 @@ def formatted(turns: DataFrame, template: Template = DEFAULT) -> DataFrame:
     moves = F.create_map(
         *(F.lit(x) for state, roles in template.moves for role in roles for x in (f"{state}>{role}", role))
     )
-    role = F.coalesce("role", F.lit(""))
+    parts = lambda t: F.array(
+        segment(place(t["role"], 0), F.lit(False)),
+        segment(escaped(t["text"]), t["role"].isin(*template.loss_roles)),
+        segment(place(t["role"], 1), F.lit(False)),
+    )
+    # Raw texts are collected, so that turns alike in turn and role stand in the order of their texts.
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return (
-        turns.select(
-            "conv_id",
-            F.struct(
-                "turn",
-                role.alias("role"),
-                F.array(
-                    segment(place(role, 0), F.lit(False)),
-                    segment(escaped(F.coalesce("text", F.lit(""))), role.isin(*template.loss_roles)),
-                    segment(place(role, 1), F.lit(False)),
-                ).alias("parts"),
-            ).alias("_turn"),
-        )
-        .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
+        turns.groupBy("conv_id")
+        .agg(F.sort_array(F.collect_list(turn)).alias("_turns"))
         .withColumns(
             {
-                "segments": F.flatten("_turns.parts"),
+                "segments": F.flatten(F.transform("_turns", parts)),
                 "_end": F.aggregate(
                     "_turns.role",
                     F.lit(""),
