@@ -63,6 +63,7 @@ _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
 )
 _HEX = re.compile(r"[0-9a-f]+")
+_WEB_RUN = re.compile(r"[A-Za-z0-9_-]*")
 #: Kind -> its keywords in lower case, the expression anchored at them, the condition on a match.
 _RULES = {
     "assign": (("password", "passwd", "secret", "token", "apikey", "api_key"), _ASSIGN, lambda m: len(m[2]) >= MIN_VALUE),
@@ -113,6 +114,9 @@ def spans_of(text: str, may_hold_hex: bool = True) -> list[tuple[int, int, int]]
             used[kind] = m.end()
             if holds(m):
                 out.append((start, KINDS.index(kind), m.end()))
+        elif kind == "web_token" and text.startswith("eyJ", start):
+            # What is missing stands behind the run, so no later place in the run matches either.
+            used[kind] = _WEB_RUN.match(text, start).end()
     if may_hold_hex:
         out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text) if len(m[0]) >= MIN_HEX]
     return sorted(out)
