@@ -7,7 +7,9 @@ are put together. The vocabulary is a file of the tokenizers library with
 byte-level symbols and a word-end suffix; its place is a parameter.
 
 Nulls count as empty texts, which have no ids. Special tokens that stand in a
-text become their ids. Repeated rows give a row each; an empty table gives none.
+text become their ids. Composition, lower case and the classes of letters and
+numbers are the library's own, whose Unicode tables are not Python's. Repeated rows
+give a row each; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,19 +19,22 @@ import hashlib
 import heapq
 import json
 import re
-import sys
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from curbspark.llm.common import table
 
 #: Words and fragments that a Python worker remembers; the caches start anew when full.
 MAX_CACHED = 400_000
 
+#: Rows that a worker codes at a time.
+ROWS = 512
+
 #: Words of up to so many bytes are merged by scanning all pairs, longer ones with a heap.
 LONG = 128
 
@@ -40,18 +45,25 @@ _NOT_WHITE = re.compile("[\x1c-\x1f]")
 _NONE = 1 << 60
 
 
+@functools.cache
+def _normalizer() -> normalizers.Normalizer:
+    """The library's composition and lower case: its Unicode tables are older than Python's, and order marks differently."""
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 @functools.cache
 def _word_pattern() -> re.Pattern:
-    """The word pattern, with the letters and numbers of Python's own Unicode tables, as re has no classes for them."""
-    runs: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for point in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(point))[0]
-        if kind in runs:
-            if runs[kind] and runs[kind][-1][1] == point - 1:
-                runs[kind][-1][1] = point
-            else:
-                runs[kind].append([point, point])
-    letters, numbers = ("".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in r) for r in runs.values())
+    """The word pattern. re has no classes for letters and numbers, so they are listed as the library's expressions see them."""
+    # The planes beyond the third hold neither letters nor numbers.
+    points = "".join(chr(p) for p in range(0x40000) if not 0xD800 <= p < 0xE000)
+    classes = []
+    for name in (r"\p{L}+", r"\p{N}+"):
+        pieces = pre_tokenizers.Split(Regex(name), "removed").pre_tokenize_str(points)
+        # What is left lies between the runs of the class.
+        ends = [0, *(x for _, span in pieces for x in span), len(points)]
+        runs = [(points[a], points[b - 1]) for a, b in zip(ends[::2], ends[1::2], strict=True) if a < b]
+        classes.append("".join(f"\\U{ord(x):08x}-\\U{ord(y):08x}" for x, y in runs))
+    letters, numbers = classes
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_WHITE}{letters}{numbers}]+")
 
 
@@ -157,8 +169,7 @@ class WordBpe(dict):
         return out
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
-        # Lower case of each character by itself, not of a sigma by its place.
-        text = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        text = chunk.lower() if chunk.isascii() else _normalizer().normalize_str(chunk)
         ids: list[int] = []
         for word in _word_pattern().findall(text):
             if (own := self.words.get(word)) is None:
@@ -183,35 +194,41 @@ class WordBpe(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def loaded(path: str) -> WordBpe:
-    return WordBpe(path)
+def loaded(path: str | Callable[[], str]) -> WordBpe:
+    """A path that is a function is asked for on the worker, whose files may lie elsewhere."""
+    return WordBpe(path() if callable(path) else path)
+
 
+#: What coding a text gives.
+CODED = "n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>"
 
-def coded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+
+def coded(docs: DataFrame, path: str | Callable[[], str]) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            counts, ids, decoded = [], [], []
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            ids, digests, decoded = [], [], []
             for text in batch.column("text"):
                 a, b = bpe.coded(text.as_py() or "")
-                counts.append(a.count(" ") + 1 if a else 0)
-                ids.append(digest(a))
+                ids.append(np.fromstring(a, np.int32, sep=" ") if a else np.zeros(0, np.int32))
+                digests.append(digest(a))
                 decoded.append(digest(b))
+            sizes = np.array([len(x) for x in ids], np.int64)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [batch.column("doc_id"), pa.array(sizes), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), lists],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {CODED}")
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """docs with token_ids, the ids of the text."""
+def encoded(docs: DataFrame, path: str | Callable[[], str]) -> DataFrame:
+    """docs with token_ids, the ids of the text, in place of a column of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -232,8 +249,9 @@ def vocabulary() -> str:
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
-    return coded(table(spark, sf_dir, "documents"), vocabulary())
+    return coded(table(spark, sf_dir, "documents"), vocabulary).drop("token_ids")
 
 
 def bpe_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return coded(docs, vocabulary())
+    """doc_id, the digests and token_ids of each document."""
+    return coded(docs, vocabulary)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import html
 import random
 import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -359,3 +363,39 @@ def test_pipeline(spark):
 def test_pipeline_on_edges_and_nothing(spark, tmp_path):
     corpus_pipeline.run(spark, write_edge_tables(spark, tmp_path / "edge")).count()
     assert corpus_pipeline.run(spark, write_empty_tables(spark, tmp_path / "empty")).count() == 0
+
+
+def test_bpe_orders_marks_as_the_library():
+    """100,000 short texts of marks, letters, controls and any other character."""
+    own = bpe.loaded(bpe.vocabulary)
+    library = tokenizers.Tokenizer.from_file(bpe.vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    kinds = [
+        [c for c in points if unicodedata.category(c)[0] == "M"],
+        [c for c in points if unicodedata.category(c)[0] == "L"],
+        [c for c in points if unicodedata.category(c) in ("Cc", "Cf", "Zs", "Zl", "Zp")],
+        points,
+        [*"aeiouAEIOUcs ΣİÅ"],
+    ]
+    pick = random.Random(5)
+    texts = ["".join(pick.choice(pick.choices(kinds, [5, 3, 1, 1, 4])[0]) for _ in range(pick.randint(1, 8))) for _ in range(100_000)]
+    texts += ["᷋\U00011f42", "︭᫈", "͛\U0001e4ee"]
+    for text, wanted in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.coded(text)[0] == " ".join(map(str, wanted.ids)), ascii(text)
+
+
+def test_bpe_token_ids_are_those_of_the_digest(spark):
+    for r in bpe.coded(edge_docs(spark), bpe.vocabulary).collect():
+        assert len(r["token_ids"]) == r["n_tokens"]
+        assert hashlib.sha256(" ".join(map(str, r["token_ids"])).encode()).hexdigest() == r["ids_sha256"]
+
+
+def test_repeated_web_token_heads_take_linear_time():
+    text = "eyJ" * 100_000
+    begin = time.perf_counter()
+    assert secrets.spans_of(text + "." + text + " EYJeyJx.eyJ.") == []
+    assert time.perf_counter() - begin < 5
+    token = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=") + ".e30.c2ln"
+    assert [(s, e) for s, k, e in secrets.spans_of("eyJx " + token + " EYJeyJ") if secrets.KINDS[k] == "web_token"] == [(5, 5 + len(token))]
