@@ -28,7 +28,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document of the mix, once for each time it is taken."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of each document of the mix, once for each time it is taken."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
