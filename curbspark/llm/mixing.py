@@ -8,9 +8,11 @@ scaled down by its quality weight (the share of distinct words in its words), an
 documents are taken in order of the key until the words are used up; the last
 one may be taken in part.
 
-Keys come from a hash of the doc_id, so reruns agree. Rows that share an id
-share its key and are taken alike. Null texts have size 0; nothing is taken of
-them. An empty table gives an empty result.
+Keys come from a hash of doc_id and text, so reruns agree and rows that share an
+id, or have none, have keys of their own. Rows alike in both share a key: they are
+taken one after the other, in whatever order, until the words are used up, so that
+taken stays within one document of the target. Null texts have size 0; nothing is
+taken of them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ MIN_QUALITY = 0.05
 BUCKETS_PER_E = 256
 
 
-def sampling_key(doc_id: Column, quality: Column) -> Column:
-    """-ln(u) / quality with u from the first 52 bits of a hash of the id."""
-    bits = F.conv(F.substring(F.sha2(F.coalesce(doc_id.cast("string"), F.lit("")), 256), 1, 13), 16, 10)
+def sampling_key(doc_id: Column, text: Column, quality: Column) -> Column:
+    """-ln(u) / quality with u from the first 52 bits of a hash of id and text."""
+    hashed = F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.sha2(text, 256)), 256)
+    bits = F.conv(F.substring(hashed, 1, 13), 16, 10)
     return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / quality
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with size and sampling_key."""
+    """docs with size, sampling_key and a number for each row, the place of its partition first."""
     return (
         docs.withColumn("_words", words_of(whole_text()))
         .withColumns(
@@ -53,8 +56,9 @@ def keyed(docs: DataFrame) -> DataFrame:
             }
         )
         .drop("_words")
-        .withColumn("sampling_key", sampling_key(F.col("doc_id"), F.col("_quality")))
+        .withColumn("sampling_key", sampling_key(F.col("doc_id"), whole_text(), F.col("_quality")))
         .drop("_quality")
+        .withColumn("_row", F.monotonically_increasing_id())
     )
 
 
@@ -90,62 +94,66 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 
 def source_cuts(sized: DataFrame) -> DataFrame:
-    """source, source_size, target, epochs, and where the fractional selection ends: the key and id of the
-    last document taken, and how many words of it; null where it takes all.
+    """source, source_size, target, epochs, and where the fractional selection ends: the key and number of the
+    last row taken, and how many words of it; null where it takes all.
 
-    Sums over buckets of the key find the bucket that the cut falls in; only rows of that bucket are ordered.
+    Sums find the cut in steps: the bucket of keys, the key in the bucket, then among the rows that share that
+    key the partition and the row. Each step reads the rows of the place that the step before found.
     """
-    bucketed = sized.withColumn("_bucket", F.floor(BUCKETS_PER_E * F.log("sampling_key")).cast("int"))
+    steps = {
+        "_bucket": F.floor(BUCKETS_PER_E * F.log("sampling_key")).cast("int"),
+        "_key": F.col("sampling_key"),
+        "_part": F.shiftright("_row", 33),
+        "_number": F.col("_row"),
+    }
+    placed = sized.select("source", "size", *(c.alias(n) for n, c in steps.items()))
     targets = (
         source_targets(sized)
         .withColumn(
             "epochs", F.floor(F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))).cast("long")
         )
-        .withColumn(
-            "_rest", F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size")
-        )
+        .withColumn("_left", F.floor(F.col("target") + 0.5).cast("long") - F.col("epochs") * F.col("source_size"))
     )
-    by_bucket = Window.partitionBy("source").orderBy("_bucket")
-    sums = bucketed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    upto = sums.withColumn("_upto", F.sum("_sum").over(by_bucket))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    ends = (
-        upto.alias("a")
-        .join(targets.alias("b"), same)
-        .where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") <= F.col("_rest")) & (F.col("_sum") > 0))
-        .select("a.source", "_bucket", (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_left"))
-    )
-    by_key = Window.partitionBy("source").orderBy("sampling_key", "doc_id")
-    cut = (
-        bucketed.alias("a")
-        .join(ends.alias("b"), same & (F.col("a._bucket") == F.col("b._bucket")))
-        .select("a.source", "doc_id", "sampling_key", "size", "_left")
-        .withColumn("_through", F.sum("size").over(by_key))
-        .where("_through > _left")
-        .groupBy("source")
-        .agg(F.min(F.struct("sampling_key", "doc_id", "size", "_through", "_left")).alias("_cut"))
-        .select(
-            "source",
-            F.col("_cut.sampling_key").alias("cut_key"),
-            F.col("_cut.doc_id").alias("cut_id"),
-            (F.col("_cut._left") - F.col("_cut._through") + F.col("_cut.size")).alias("cut_words"),
+    ends, found = targets.select("source", "_left"), []
+    for step in steps:
+        here = same
+        for name in found:
+            here = here & (F.col(f"a.{name}") == F.col(f"b.{name}"))
+        found.append(step)
+        sums = (
+            placed.alias("a")
+            .join(ends.alias("b"), here)
+            .groupBy(*(f"a.{n}" for n in ("source", *found)), "b._left")
+            .agg(F.sum("size").alias("_sum"))
+        )
+        order = Window.partitionBy("source").orderBy(step)
+        ends = (
+            sums.withColumn("_upto", F.sum("_sum").over(order))
+            .where((F.col("_upto") > F.col("_left")) & (F.col("_upto") - F.col("_sum") <= F.col("_left")) & (F.col("_sum") > 0))
+            .select("source", *found, (F.col("_left") - F.col("_upto") + F.col("_sum")).alias("_left"))
         )
-    )
     return (
         targets.alias("a")
-        .join(cut.alias("b"), same, "left")
-        .select("a.source", "source_size", "target", "epochs", "cut_key", "cut_id", "cut_words")
+        .join(ends.alias("b"), same, "left")
+        .select(
+            "a.source",
+            "source_size",
+            "target",
+            "epochs",
+            F.col("_key").alias("cut_key"),
+            F.col("_number").alias("cut_row"),
+            F.col("b._left").alias("cut_words"),
+        )
     )
 
 
 def taken(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     """sized with source_size, target and taken."""
-    key, cut_key = F.col("sampling_key"), F.col("cut_key")
-    same_id = F.col("doc_id").eqNullSafe(F.col("cut_id"))
+    key, cut_key, row, cut_row = (F.col(c) for c in ("sampling_key", "cut_key", "_row", "cut_row"))
     share = (
-        F.when(cut_key.isNull() | (key < cut_key), F.col("size"))
-        .when((key == cut_key) & same_id, F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut_words"))))
-        .when((key == cut_key) & (F.col("doc_id") < F.col("cut_id")), F.col("size"))
+        F.when(cut_key.isNull() | (key < cut_key) | ((key == cut_key) & (row < cut_row)), F.col("size"))
+        .when((key == cut_key) & (row == cut_row), F.col("cut_words"))
         .otherwise(0)
     )
     cuts = staged(cuts, "mixing")
@@ -166,10 +174,13 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one taken in part counts as whole if half of it is taken."""
+    """Each document as often as the mix takes it; one taken in part counts as whole if half of it is taken.
+
+    docs is read twice. Its rows must come in the same order each time, as rows of Parquet files do.
+    """
     inner, back = shielded(docs, "doc_id", "source", "text")
     sized = keyed(inner)
-    narrow = staged(sized.select("doc_id", "source", "size", "sampling_key"), "mixing")
+    narrow = staged(sized.select("doc_id", "source", "size", "sampling_key", "_row"), "mixing")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     return back(
         taken(sized, source_cuts(narrow))
@@ -182,13 +193,13 @@ def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH w AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
   FROM documents
 ), d AS (
   SELECT doc_id, source, len(words)::BIGINT AS size,
          greatest(0.05, coalesce(len(list_distinct(words))::DOUBLE / nullif(len(words), 0), 1)) AS quality,
-         ('0x' || sha256(coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE AS bits
+         ('0x' || sha256(coalesce(doc_id::VARCHAR, '') || ':' || sha256(coalesce(text, '')))[1:13])::BIGINT::DOUBLE AS bits
   FROM w
 ), k AS (
   SELECT doc_id, source, size, -ln((bits + 0.5) / 4503599627370496.0::DOUBLE) / quality AS key FROM d

@@ -274,3 +274,20 @@ def test_mixing_edges(spark, tmp_path):
     staged = mixing.mixing_stage(spark, docs, folder)
     assert staged.columns == docs.columns and staged.count() > 0
     assert mixing.op10_mixing(spark, write_empty_tables(spark, tmp_path / "empty")).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["unique", "null", "shared", "alike"])
+def test_mixing_meets_targets_whatever_the_ids(spark, tmp_path, ids):
+    """Words of a source taken are within one document of the target; rows alike in all share what is left."""
+    rows = []
+    for k in range(300):
+        number = 0 if ids == "alike" else k
+        doc_id = {"unique": k, "null": None, "shared": 7, "alike": 7}[ids]
+        rows.append((doc_id, " ".join(f"w{number}x{j}" for j in range(10)), "a" if k % 3 == 0 else "b"))
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op10_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == 300 and all(r["taken"] <= 2 * r["size"] for r in got)
+    for source_size in (1000, 2000):
+        mine = [r for r in got if r["source_size"] == source_size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1
+    assert_same(spark, str(tmp_path), mixing.op10_mixing, mixing.OP10_SQL)
