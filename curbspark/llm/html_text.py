@@ -2,12 +2,17 @@
 
 The tree builder closes what HTML closes by itself (paragraphs before blocks, list
 items, table rows and cells, options), ignores end tags without a start, and keeps
-everything open at the end of the input. Hidden are: the head, scripts, styles,
-templates, comments, elements with `hidden` or with `display: none` or `visibility:
-hidden` in their style, hidden inputs, and what a closed `details` holds beside its
-summary. Everything else is laid out: blocks on lines of their own, a blank line
-around paragraphs and headings, list items with bullets or numbers and indents,
-table cells padded to the width of their column, preformatted text as it stands.
+everything open at the end of the input. Tags are read by the states of the HTML
+tokenizer: a quote opens a value only behind an equals sign, and a tag that the input
+ends in is dropped. Reading takes time in proportion to the page.
+
+Hidden are: the head, scripts, styles, templates, comments, elements with `hidden` or
+with `display: none` in their style, hidden inputs, and what a closed `details` holds
+beside its summary. `visibility` in a style is handed down until an element sets it
+anew. Rules of style sheets are not read. Everything else is laid out: blocks on lines
+of their own, a blank line around paragraphs and headings, list items with bullets or
+numbers and indents, table cells padded to the width of their column (up to MAX_WIDTH)
+under the cells that span rows, preformatted text as it stands.
 
 Null and empty pages give an empty text. Elements nested deeper than MAX_DEPTH
 become siblings, their text stays. Repeated rows give a row each; an empty table
@@ -54,26 +59,36 @@ SCOPE = frozenset({"table", "td", "th", "caption", "template", "html"})
 MAX_DEPTH = 512
 CELL_GAP = "  "
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: Widest column that cells are padded to; longer cells stand out of their column.
+MAX_WIDTH = 1000
+MAX_SPAN = 1000
+
+_WS = r"[ \t\n\f\r]"
+#: What may begin with "<": a comment, a section, a declaration or malformed end tag, a tag.
+_MARKUP = re.compile(rf"<(?:(!--)|(!\[CDATA\[)|([!?]|/(?![a-zA-Z]))|(/?)([a-zA-Z][^ \t\n\f\r/>]*+))")
+_COMMENT = re.compile(r"-?>|.*?(?:--!?>|\Z)", re.S)
+_VALUE = rf"""(?:{_WS}*+={_WS}*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+)|))?+"""
+_ATTRIBUTE = re.compile(rf"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+){_VALUE}")
+#: All attributes and the end of the tag. Nothing here is tried twice.
+_REST = re.compile(rf"(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+{re.sub(r'[(](?![?])', '(?:', _VALUE)})*+>")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DISPLAY_NONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "_values")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self._values = tag, attributes, [], None
 
     def get(self, name: str) -> str | None:
-        for key, *values in _ATTRIBUTE.findall(self.attributes):
-            if key.lower() == name:
-                return html.unescape("".join(values))
-        return None
+        if self._values is None:
+            self._values = {}
+            for key, *values in _ATTRIBUTE.findall(self.attributes):
+                self._values.setdefault(key.lower(), "".join(values))
+        value = self._values.get(name)
+        return None if value is None else html.unescape(value)
 
 
 def parsed(source: str) -> Node:
@@ -99,10 +114,19 @@ def parsed(source: str) -> Node:
         if not m:
             break
         at = m.end()
-        if not m[2]:
-            continue
-        tag = m[2].lower()
         if m[1]:
+            at = _COMMENT.match(source, at).end()
+            continue
+        if m[2] or m[3]:
+            end = source.find("]]>" if m[2] else ">", at)
+            at = end + len("]]>" if m[2] else ">") if end >= 0 else len(source)
+            continue
+        tag = m[5].lower()
+        rest = _REST.match(source, at)
+        if rest is None:
+            break
+        attributes, at = source[at : rest.end() - 1], rest.end()
+        if m[4]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == tag:
                     del open_[k:]
@@ -116,19 +140,20 @@ def parsed(source: str) -> Node:
             close(*CLOSES[tag])
         if tag == "html":
             continue
-        node = Node(tag, m[3])
+        node = Node(tag, attributes)
         open_[-1].children.append(node)
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            stop = re.compile(rf"</{re.escape(tag)}(?=[ \t\n\f\r/>])", re.I).search(source, at)
             inner = source[at : stop.start() if stop else len(source)]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
-            at = stop.end() if stop else len(source)
+            rest = _REST.match(source, stop.end()) if stop else None
+            at = rest.end() if rest else len(source)
         elif tag not in VOID and len(open_) < MAX_DEPTH:
             open_.append(node)
     return root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     if node.tag in HIDDEN:
         return False
     if not node.attributes or node.attributes.isspace():
@@ -137,7 +162,15 @@ def visible(node: Node) -> bool:
         kind = node.get("type") if node.tag == "input" else None
         if node.get("hidden") is not None or (kind or "").lower() == "hidden":
             return False
-    return not (_INVISIBLE.search(node.attributes) and _INVISIBLE.search(node.get("style") or ""))
+    return not (_DISPLAY_NONE.search(node.attributes) and _DISPLAY_NONE.search(node.get("style") or ""))
+
+
+def visibility(node: Node) -> bool | None:
+    """What the element's style sets, if anything; the last value counts."""
+    if not node.attributes or not _VISIBILITY.search(node.attributes):
+        return None
+    values = _VISIBILITY.findall(node.get("style") or "")
+    return values[-1].lower() == "visible" if values else None
 
 
 class Flow:
@@ -180,6 +213,43 @@ class Flow:
         return self.lines
 
 
+#: A cell: its lines, the columns and the rows that it spans.
+Cell = tuple[list[str], int, int]
+
+
+def under_spans(rows: list[list[Cell]]) -> list[list[tuple[list[str], int]]]:
+    """Rows of cells (lines, columns spanned), with empty cells where a cell of a row above reaches down."""
+    out, held = [], {}
+    for row in rows:
+        placed: list[tuple[list[str], int]] = []
+        column, below = 0, {}
+
+        def fill(placed=placed, below=below) -> None:
+            nonlocal column
+            while column in held:
+                span, left = held.pop(column)
+                placed.append(([], span))
+                if left > 1:
+                    below[column] = (span, left - 1)
+                column += span
+
+        for lines, span, depth in row:
+            fill()
+            placed.append((lines, span))
+            if depth > 1:
+                below[column] = (span, depth - 1)
+            column += span
+        # What reaches down further to the right stays in its column.
+        fill()
+        for start in sorted(held):
+            span, left = held[start]
+            if start >= column and left > 1:
+                below[start] = (span, left - 1)
+        held = below
+        out.append(placed)
+    return out
+
+
 def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Rows of cells (lines, columns spanned) as lines, each cell padded to its columns' width."""
     widths: list[int] = []
@@ -188,7 +258,7 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
             column = 0
             for lines, span in row:
                 widths += [0] * (column + span - len(widths))
-                need = max(map(len, lines), default=0)
+                need = min(MAX_WIDTH, max(map(len, lines), default=0))
                 if span == 1:
                     widths[column] = max(widths[column], need) if span_one else widths[column]
                 elif not span_one:
@@ -201,21 +271,27 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
             column, line = 0, []
             for lines, span in row:
                 width = sum(widths[column : column + span]) + len(CELL_GAP) * (span - 1)
-                line.append((lines[k] if k < len(lines) else "").ljust(width))
+                line.append((lines[k] if k < len(lines) else "").ljust(min(width, MAX_WIDTH)))
                 column += span
             out.append(CELL_GAP.join(line).rstrip())
     return out
 
 
+def spanned(value: str | None) -> int:
+    return min(max(int(value), 1), MAX_SPAN) if value and value.isascii() and value.isdigit() and len(value) < 5 else 1
+
+
 def rendered(root: Node) -> str:
     """The visible text. Flows are stacked: list items and cells are laid out by themselves, then placed."""
-    flows, tables, lists, pre = [Flow()], [], [], 0
+    flows, tables, lists, pre, shown = [Flow()], [], [], 0, [True]
     #: (node, entering)
     stack: list[tuple[Node | str, bool]] = [(root, True)]
     while stack:
         node, entering = stack.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if not shown[-1]:
+                continue
             if pre:
                 first, *rest = node.expandtabs().split("\n")
                 flow.parts.append(first)
@@ -233,8 +309,10 @@ def rendered(root: Node) -> str:
                 else:
                     flow.blank = True
                 continue
-            if not visible(node):
+            if not displayed(node):
                 continue
+            sets = visibility(node)
+            shown.append(shown[-1] if sets is None else sets)
             if tag in BLOCK:
                 flow.gap(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag == "table":
@@ -258,6 +336,7 @@ def rendered(root: Node) -> str:
             stack += [(c, True) for c in reversed(children)]
             continue
         pre -= tag == "pre"
+        shown.pop()
         if tag == "li":
             lines = flows.pop().finished()
             number = lists[-1] if lists else None
@@ -268,11 +347,9 @@ def rendered(root: Node) -> str:
         elif tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
         elif tag in ("td", "th") and tables:
-            span = node.get("colspan") or ""
-            cell = (flows.pop().finished(), min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() and len(span) < 5 else 1)
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((flows.pop().finished(), spanned(node.get("colspan")), spanned(node.get("rowspan"))))
         elif tag == "table":
-            flows[-1].add(aligned([r for r in tables.pop() if any(lines for lines, _ in r)]))
+            flows[-1].add(aligned([r for r in under_spans(tables.pop()) if any(lines for lines, _ in r)]))
         if tag in BLOCK:
             flows[-1].gap(tag in SPACED and not (tag in ("ul", "ol") and lists))
     return "\n".join(flows[0].finished())

@@ -399,3 +399,32 @@ def test_repeated_web_token_heads_take_linear_time():
     assert time.perf_counter() - begin < 5
     token = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=") + ".e30.c2ln"
     assert [(s, e) for s, k, e in secrets.spans_of("eyJx " + token + " EYJeyJ") if secrets.KINDS[k] == "web_token"] == [(5, 5 + len(token))]
+
+
+def test_html_keeps_text_around_odd_markup():
+    cases = {
+        "<p title=it's>Hello</p><p>It's fine <b>x</b></p>": "Hello\n\nIt's fine x",
+        "<table><tr><td rowspan=2>A<td>b<tr><td>c</table>": "A  b\n   c",
+        "<table><tr><td>a<td rowspan=3>B<td>c<tr><td>d<td>e<tr><td>f<tr><td>g<td>h</table>": "a  B  c\nd     e\nf\ng  h",
+        '<div style="visibility:hidden">no <b style="visibility: visible">yes</b> no</div>after': "yes\nafter",
+        '<div style="display:none">no <b style="visibility:visible">no</b></div>yes': "yes",
+        "<p a=b c = 'd>' e=\"f>\" g>x": "x",
+        "x<a href='open": "x",
+        "a<!-->b<!--->c<!-- d --!>e</>f</ g>h<": "abcefh<",
+        "<script>if (a </scripty>) b</script x>c": "c",
+        "<p =x=y>z": "z",
+        "1 < 2 <3": "1 < 2 <3",
+    }
+    for page, text in cases.items():
+        assert html_text.visible_text(page) == text, page
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p x="', "<p x='", "</script ", "<!--", "<![CDATA[", "</", "<a b=", "<b a='\"", "<td>", "<p>", "&amp", "<textarea><"])
+def test_html_takes_linear_time(piece):
+    for head in ("", "<script>", "<table>", "<ul>"):
+        begin = time.perf_counter()
+        html_text.visible_text(head + piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - begin < 20, head
+    begin = time.perf_counter()
+    html_text.visible_text("<a " * 350_000)
+    assert time.perf_counter() - begin < 1
