@@ -117,6 +117,15 @@ FROM {events}"""
 VIEWS["points"] = f"""
 SELECT s_suppkey AS point_id, {_SLAT} + 0.0003e0 AS point_latitude, {_SLNG} AS point_longitude FROM {{supplier}}"""
 
+# Points near the spots, on the far side of the globe, at its poles, and without valid coordinates.
+VIEWS["world_points"] = f"""
+SELECT c_custkey AS point_id,
+  CASE c_custkey % 5 WHEN 0 THEN {_CLAT} + 0.0002e0 WHEN 1 THEN (c_custkey * 7919 % 18001) / 100e0 - 90e0
+    WHEN 2 THEN 38e0 + (c_custkey % 100) / 50e0 WHEN 3 THEN {_CLAT} ELSE CASE WHEN c_custkey % 3 = 0 THEN 137.7e0 ELSE 90e0 END END AS point_latitude,
+  CASE c_custkey % 5 WHEN 0 THEN {_CLNG} - 0.0003e0 WHEN 1 THEN (c_custkey * 104729 % 36001) / 100e0 - 180e0
+    WHEN 2 THEN -121e0 - (c_custkey % 90) / 30e0 WHEN 3 THEN {_CLNG} WHEN 4 THEN 180e0 END AS point_longitude
+FROM {{customer}}"""
+
 VIEWS["archive_spots"] = f"""
 SELECT c_custkey AS id, CAST(c_custkey % 900 + 100 AS VARCHAR(10)) || ' ' || c_mktsegment || ' St' AS address,
   {_CLAT} AS latitude, {_CLNG} AS longitude, c_custkey % 3 = 0 AS available,

@@ -136,6 +136,14 @@ oracle(
     pairs=f"SELECT point_id, id, {haversine('point_latitude', 'point_longitude')} AS distance FROM points, spots",
 )
 
+oracle(
+    "nearest_k_any_distance", "spots world_points",
+    f"""SELECT point_id, id, round(distance, 6) AS distance_miles, nearness FROM (SELECT *, CAST(row_number() OVER
+  (PARTITION BY point_id ORDER BY distance, id) AS INTEGER) AS nearness FROM pairs) t WHERE nearness <= 3""",
+    pairs=f"SELECT point_id, id, {haversine('point_latitude', 'point_longitude')} AS distance FROM world_points, spots"
+    " WHERE point_latitude BETWEEN -90 AND 90 AND point_longitude BETWEEN -180 AND 180",
+)
+
 # --- favorites, users, events ---------------------------------------------
 
 

@@ -22,6 +22,7 @@ from curbspark.operators import (
 )
 from curbspark.operators.latest import latest_per_key
 from curbspark.operators.once import evaluate_once
+from curbspark.operators.nearest import nearest_places
 from curbspark.operators.radius_join import nearest_per_point as radius_join_nearest
 from curbspark.operators.radius_join import radius_join
 from curbspark.operators.upsert import insert_if_absent, upsert
@@ -194,6 +195,13 @@ def nearest_per_point(spark, d):
     return miles(near).select("point_id", "id", "distance_miles", "nearness")
 
 
+@query
+def nearest_k_any_distance(spark, d):
+    spots = view(spark, d, "spots").select("id", "latitude", "longitude")
+    near = nearest_places(view(spark, d, "world_points"), spots, 3, point_key="point_id", location_key="id")
+    return miles(near).select("point_id", "id", "distance_miles", "nearness")
+
+
 # --- favorites, users, events ---------------------------------------------
 
 
