@@ -10,12 +10,11 @@ from curbspark.functions.geo import METERS_PER_MILE
 from curbspark.operators.latest import latest_per_key
 from curbspark.operators.radius_join import radius_join
 from curbspark.operators.skew import lookup_join
+from curbspark.plans.zone_cover import ZoneIndex, zone_index, zones_of_places
 
 # Fixed values.
 ANCHOR_METERS = 25
 NO_PARKING = "NO_PARKING"
-ZONE_CELL_DEGREES = 0.02
-_POINT_BYTES, _ZONE_BYTES = 40, 64
 
 
 def spot_rules(spots: DataFrame, rules: DataFrame, anchor_meters: float = ANCHOR_METERS, **join_options) -> DataFrame:
@@ -137,56 +136,15 @@ def in_rings(lat: Column, lng: Column, rings: Column) -> Column:
     return F.size(F.filter(sides, crossed)) % 2 == 1
 
 
-def zones_of_points(
-    spots: DataFrame, zones: DataFrame, cell_degrees: float = ZONE_CELL_DEGREES, **join_options
-) -> DataFrame:
+def zones_of_points(spots: DataFrame, zones: DataFrame, index: ZoneIndex | None = None, **join_options) -> DataFrame:
     """(spot_id, zone_id) for active zones whose boundary holds the spot.
 
-    `zones.rings` are closed arrays of (lat, lng).  Zones are listed under each
-    grid cell of their bounding box, spots under their own cell, so only zones
-    of the cell are tested.  A crowded cell is salted.  A large zone is listed
-    many times, so the list is measured, by an aggregate over the zones alone,
-    before it may be broadcast.
+    `zones.rings` are closed arrays of (lat, lng).  Without an index one is built
+    (see `zone_cover`); many lookups can share one.
     """
-    points = F.flatten("rings")
-    lats, lngs = F.transform(points, lambda p: p["lat"]), F.transform(points, lambda p: p["lng"])
-
-    def cell(degrees: Column) -> Column:
-        return F.floor(degrees / cell_degrees)
-
-    bounded = zones.where("is_active").select(
-        F.col("id").alias("zone_id"),
-        "rings",
-        cell(F.array_min(lats)).alias("_south"),
-        cell(F.array_max(lats)).alias("_north"),
-        cell(F.array_min(lngs)).alias("_west"),
-        cell(F.array_max(lngs)).alias("_east"),
-    )
-    cells = (F.col("_north") - F.col("_south") + 1) * (F.col("_east") - F.col("_west") + 1)
-    ring_bytes = F.size(F.flatten("rings")) * _POINT_BYTES + _ZONE_BYTES
-    listed_bytes = bounded.agg(F.coalesce(F.sum(cells * ring_bytes), F.lit(0))).first()[0]
-    listed = (
-        bounded.withColumn("_row", F.explode(F.sequence("_south", "_north")))
-        .withColumn("_cell", F.explode(F.sequence("_west", "_east")))
-        .drop("_south", "_north", "_west", "_east")
-    )
-    placed = spots.select(
-        F.col("id").alias("spot_id"),
-        "latitude",
-        "longitude",
-        cell(F.col("latitude")).alias("_row"),
-        cell(F.col("longitude")).alias("_cell"),
-    )
-    return lookup_join(
-        placed,
-        listed,
-        ["_row", "_cell"],
-        "inner",
-        salt_by=["spot_id"],
-        condition=in_rings(F.col("latitude"), F.col("longitude"), F.col("rings")),
-        lookup_bytes=int(listed_bytes),
-        **join_options,
-    ).select("spot_id", "zone_id")
+    index = index or zone_index(zones, in_rings)
+    places = spots.select(F.col("id").alias("spot_id"), "latitude", "longitude")
+    return zones_of_places(places, index, key="spot_id", **join_options)
 
 
 def zones_by_code(spots: DataFrame, zones: DataFrame, **join_options) -> DataFrame:
