@@ -48,6 +48,11 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey
   o_orderdate AS created_at
 FROM {orders}"""
 
+VIEWS["status_probes"] = """
+SELECT o_orderkey AS probe_id, CASE WHEN o_orderkey % 101 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 7 ELSE o_custkey END AS parking_spot_id,
+  o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 90 - 10 AS INT) AS asked_at
+FROM {orders}"""
+
 VIEWS["favorite_log"] = """
 SELECT event_id AS seq, user_id, event_id % 50 AS parking_spot_id,
   CASE WHEN event_type = 'error' THEN 'remove' ELSE 'add' END AS op, ts

@@ -486,6 +486,15 @@ _APPLIED = (
     " coalesce(l.created_at, s.updated_at) AS updated_at FROM spots s LEFT JOIN latest l ON l.parking_spot_id = s.id"
 )
 oracle("latest_report_status", "reports", _LATEST)
+oracle(
+    "status_as_of", "reports status_probes",
+    "SELECT probe_id, parking_spot_id, asked_at, coalesce(status, 'UNKNOWN') AS status, created_at AS reported_at FROM status_probes p"
+    " LEFT JOIN last l USING (probe_id) ",
+    last="SELECT p.probe_id, max_by(r.status, r.id) AS status, r.created_at FROM status_probes p JOIN reports r"
+    " ON r.parking_spot_id = p.parking_spot_id AND r.created_at <= p.asked_at AND r.status IN ('AVAILABLE', 'OCCUPIED', 'UNKNOWN')"
+    " WHERE r.created_at >= p.asked_at - INTERVAL 30 DAY GROUP BY p.probe_id, r.created_at"
+    " QUALIFY row_number() OVER (PARTITION BY p.probe_id ORDER BY r.created_at DESC) = 1",
+)
 oracle("apply_reports", "spots reports", _APPLIED, latest=_LATEST)
 _REASON = (
     "CASE WHEN user_id IS NULL THEN 'not_authenticated' WHEN status NOT IN ('AVAILABLE', 'OCCUPIED', 'UNKNOWN')"

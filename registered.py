@@ -11,6 +11,7 @@ from curbspark import schemas
 from curbspark.functions.payload import sanitize_payload
 from curbspark.operators import (
     accounts,
+    asof,
     changes,
     counts,
     favorites,
@@ -606,6 +607,14 @@ def latest_report_status(spark, d):
     return reports.latest_status(view(spark, d, "reports"))
 
 
+@query
+def status_as_of(spark, d):
+    """Every third probe asks for one spot."""
+    probes = view(spark, d, "status_probes").withColumnRenamed("asked_at", "at")
+    found = asof.status_as_of(view(spark, d, "reports"), probes, F.make_dt_interval(days=F.lit(30)))
+    return found.withColumnRenamed("at", "asked_at")
+
+
 @query
 def apply_reports(spark, d):
     spots, _, _ = reports.submit_reports(view(spark, d, "spots"), view(spark, d, "reports"))
