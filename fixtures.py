@@ -67,6 +67,21 @@ SELECT event_id AS seq, ts, user_id AS id,
   CASE event_id % 3 WHEN 0 THEN 'AVAILABLE' WHEN 1 THEN 'OCCUPIED' ELSE 'UNKNOWN' END AS status
 FROM {events}"""
 
+# Spots that wander between nine places; every seventh event has none.
+VIEWS["moving_feed"] = """
+SELECT event_id AS seq, ts, user_id AS id,
+  CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op,
+  CASE WHEN event_id % 7 = 0 THEN NULL ELSE 37.70e0 + event_id % 3 / 20e0 END AS latitude,
+  -122.50e0 + event_id % 9 / 40e0 AS longitude,
+  CASE event_id % 4 WHEN 0 THEN 'AVAILABLE' WHEN 1 THEN 'OCCUPIED' WHEN 2 THEN 'UNKNOWN' END AS status
+FROM {events}"""
+
+VIEWS["viewers"] = """
+SELECT n_nationkey AS viewer_id, 37.68e0 + n_nationkey % 5 / 50e0 AS south, -122.52e0 + n_nationkey % 7 / 50e0 AS west,
+  37.70e0 + n_nationkey % 4 / 20e0 AS north, CASE WHEN n_nationkey % 11 = 0 THEN 180e0 ELSE -122.41e0 + n_nationkey % 3 / 20e0 END AS east,
+  CASE n_nationkey % 3 WHEN 0 THEN 'AVAILABLE' WHEN 1 THEN 'OCCUPIED' END AS status
+FROM {nation}"""
+
 VIEWS["meter_feed"] = """
 SELECT p_partkey AS feed_pos, CASE p_partkey % 10
   WHEN 0 THEN '{{"objectid":' || CAST(p_partkey AS VARCHAR(12)) || ',"street_name":"' || p_brand || '"}}'

@@ -695,6 +695,19 @@ LEFT JOIN (SELECT spot_id, string_agg(CAST(zone_id AS VARCHAR), ',' ORDER BY zon
 
 # --- streams --------------------------------------------------------------
 
+_SEES = "coalesce({0}.latitude BETWEEN south AND north AND {0}.longitude BETWEEN west AND east AND (v.status IS NULL OR {0}.status = v.status), false)"
+oracle(
+    "viewer_messages", "moving_feed viewers",
+    "SELECT viewer_id, CASE WHEN NOT sees THEN 'WITHDRAW' WHEN saw THEN 'UPDATE' ELSE 'ENTER' END AS message, id, ts, seq,"
+    " CASE WHEN sees THEN after.latitude END AS latitude, CASE WHEN sees THEN after.longitude END AS longitude,"
+    " CASE WHEN sees THEN after.status END AS status FROM told WHERE saw OR sees",
+    played="SELECT *, coalesce(last_value(CASE WHEN op <> 'UPDATE' THEN op = 'INSERT' END IGNORE NULLS)"
+    " OVER (PARTITION BY id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false) AS there FROM moving_feed",
+    shown="SELECT id, ts, seq, CASE WHEN there THEN {'latitude': latitude, 'longitude': longitude, 'status': status} END AS after FROM played",
+    changed="SELECT *, lag(after) OVER (PARTITION BY id ORDER BY ts, seq) AS before FROM shown",
+    told=f"SELECT viewer_id, id, ts, seq, after, {_SEES.format('before')} AS saw, {_SEES.format('after')} AS sees FROM changed, viewers v",
+)
+ORACLES["stream_viewer_messages"] = ORACLES["viewer_messages"]
 ORACLES["stream_change_feed"] = ORACLES["apply_change_feed"]
 ORACLES["stream_reports"] = ORACLES["apply_reports"]
 ORACLES["stream_accepted_reports"] = ORACLES["accepted_reports"]

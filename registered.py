@@ -20,6 +20,7 @@ from curbspark.operators import (
     reports,
     serving,
     spot_admin,
+    viewers,
 )
 from curbspark.operators.latest import latest_per_key
 from curbspark.operators.once import evaluate_once
@@ -31,8 +32,10 @@ from curbspark.plans import city, ingest, normalize, rules
 from curbspark.session import shared_dir
 from curbspark.sources import registry
 from curbspark.sources.feed import limit_rows
+from curbspark.sources.tables import read_batches
 from curbspark.streaming import jobs
-from fixtures import view
+from curbspark.streaming.viewers import viewer_writer
+from fixtures import VIEWS, view, without_zone
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -654,6 +657,11 @@ def apply_change_feed(spark, d):
     return state.select("id", "street_name", "status")
 
 
+@query
+def viewer_messages(spark, d):
+    return viewers.viewer_messages(viewers.row_changes(view(spark, d, "moving_feed")), view(spark, d, "viewers"))
+
+
 @query
 def filtered_change_feed(spark, d):
     feed = changes.visible_changes(view(spark, d, "change_feed"), F.col("status") == "AVAILABLE")
@@ -817,6 +825,30 @@ def stream_change_feed(spark, d):
     return jobs.current_spots(spark, view(spark, d, "spots"), f"{out}/batches").select("id", "street_name", "status")
 
 
+def _stream_view(spark, d, name: str, table: str) -> DataFrame:
+    """A view of one table, over that table as a stream."""
+    source = f"stream_of_{table}"
+    _stream(spark, d, table).createOrReplaceTempView(source)
+    return without_zone(spark.sql(VIEWS[name].format(**{table: source})))
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@query
+def stream_viewer_messages(spark, d):
+    out, before = shared_dir(spark, "viewers"), spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        feed = _stream_view(spark, d, "moving_feed", "events")
+        writer = viewer_writer(feed, view(spark, d, "viewers"), f"{out}/batches", f"{out}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return read_batches(spark, f"{out}/batches").drop("batch_id")
+
+
 def _run_report_stream(spark, d) -> str:
     incoming = _stream(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"),
