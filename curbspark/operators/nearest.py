@@ -79,8 +79,9 @@ def _searched(wanted: DataFrame, counts: DataFrame, k: int) -> DataFrame:
         here = here.withColumns({"_up_row": F.shiftright("place_row", step), "_up_col": F.shiftright("place_col", step)})
         own = wanted.select(F.shiftright("row", rise).alias("row"), F.shiftright("col", rise).alias("col")).distinct()
         if found is None:
-            # The first level has at most 2**8 cells on each side.
-            pairs = own.withColumns({"_up_row": F.lit(0), "_up_col": F.lit(0)}).join(F.broadcast(here), ["_up_row", "_up_col"])
+            # All cells of the first level, at most 2**8 on each side, lie in the one above.
+            whole = {"_up_row": F.shiftright("row", step), "_up_col": F.shiftright("col", step)}
+            pairs = own.withColumns(whole).join(F.broadcast(here), ["_up_row", "_up_col"])
         else:
             kept = found.select(
                 F.col("row").alias("_own_row"),
