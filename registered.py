@@ -45,10 +45,27 @@ LAT, LNG, MILES = 37.7879, -122.4075, 0.5
 FAR_LAT, FAR_LNG = 40.7128, -74.0060
 USER = 7
 SPOT = ["id", "street_name", "address", "status", "parking_type", "updated_at"]
-FIELD_NAMES = sorted(
-    "objectid street_name post_id latitude longitude streetname postid shape blockface_id active_meter_flag "
-    "location street street_number lat lng blockface street_num cap_color active".split()
-)
+FIELD_NAMES = [
+    "active",
+    "active_meter_flag",
+    "blockface",
+    "blockface_id",
+    "cap_color",
+    "lat",
+    "latitude",
+    "lng",
+    "location",
+    "longitude",
+    "objectid",
+    "post_id",
+    "postid",
+    "shape",
+    "street",
+    "street_name",
+    "street_num",
+    "street_number",
+    "streetname",
+]
 
 
 def wall_clock(text: str) -> Column:
