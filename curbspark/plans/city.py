@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbspark.operators.counts import skip_counts
+from curbspark.operators.diff import KINDS, change_counts, diff_tables
 from curbspark.operators.quality import verify_locations
 from curbspark.operators.upsert import CHANGE, upsert
 from curbspark.plans import ingest, normalize
@@ -109,6 +110,114 @@ def import_audit(
     )
 
 
+#: Columns that say when or by which run a row was written; what changed is told by the others.
+BOOKKEEPING = ("id", "imported_at", "updated_at", "created_at", "last_synced_at", "raw_source")
+
+
+@dataclass(frozen=True)
+class Offer:
+    """What a feed brings for one target: the rows there were, the rows it offers, and all it fetched."""
+
+    dataset: str
+    target: str
+    keys: tuple[str, ...]
+    old: DataFrame
+    new: DataFrame
+    fetched: DataFrame
+    skipped: Column
+
+
+def offer_changes(offers: dict[str, Offer]) -> DataFrame:
+    """(target, key, change) for all offers: the names of `offers` are the targets."""
+    return diff_tables(
+        {n: o.old for n, o in offers.items()},
+        {n: o.new for n, o in offers.items()},
+        {n: list(o.keys) for n, o in offers.items()},
+        BOOKKEEPING,
+    )
+
+
+def import_log(
+    changes: DataFrame, offers: dict[str, Offer], started_at: Column, finished_at: Column, whole: bool = True
+) -> DataFrame:
+    """One audit row for each offer, those without any row included.
+
+    `changes` are the offers' changes.  `rows_deleted` are rows of the table that
+    the feed no longer brings; a feed that was cut short (not `whole`) says nothing
+    about them, so they then count as 0.  Rows of a key that the table holds
+    more than once count as `rows_repeated`.
+    """
+    names = list(offers)
+    zero = F.lit(0).cast("bigint")
+    counted = [*KINDS, "fetched", "skipped"]
+
+    def row(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select("target", *[given.get(c, zero).alias(c) for c in counted])
+
+    read = [
+        row(
+            o.fetched.agg(F.count(F.lit(1)).alias("_fetched"), F.count_if(o.skipped).alias("_skipped")).withColumn(
+                "target", F.lit(n)
+            ),
+            fetched=F.col("_fetched"),
+            skipped=F.col("_skipped"),
+        )
+        for n, o in offers.items()
+    ]
+    diffed = row(change_counts(changes), **{k: F.col(k) for k in KINDS})
+    totals = reduce(DataFrame.unionByName, [*read, diffed]).groupBy("target").agg(*[F.sum(c).alias(c) for c in counted])
+
+    def named(attribute: str) -> Column:
+        pairs = [F.lit(x) for n in names for x in (n, getattr(offers[n], attribute))]
+        return F.element_at(F.create_map(*pairs), F.col("target"))
+
+    return totals.select(
+        F.lit(PROVIDER).alias("source"),
+        named("dataset").alias("source_dataset"),
+        named("target").alias("target_table"),
+        F.when(F.col("skipped") + F.col("repeated") > 0, "partial").otherwise("success").alias("status"),
+        started_at.alias("started_at"),
+        finished_at.alias("finished_at"),
+        F.col("fetched").alias("rows_fetched"),
+        F.col("inserted").alias("rows_inserted"),
+        F.col("changed").alias("rows_updated"),
+        F.col("unchanged").alias("rows_unchanged"),
+        (F.col("deleted") if whole else zero).alias("rows_deleted"),
+        F.col("skipped").alias("rows_skipped"),
+        F.col("repeated").alias("rows_repeated"),
+        F.lit(None).cast("string").alias("error_message"),
+    )
+
+
+def failed_import(
+    drift: DataFrame, fetched: DataFrame, dataset: str, target: str, started_at: Column, finished_at: Column
+) -> DataFrame:
+    """The audit row of a feed that drift stopped: what it held, nothing written, and why."""
+    zero = F.lit(0).cast("bigint")
+    held = fetched.agg(F.count(F.lit(1)).alias("rows_fetched")).select(
+        "rows_fetched", F.lit(None).cast("string").alias("error_message")
+    )
+    missing, extra = F.col("missing_fields"), F.col("unexpected_names")
+    why = drift.select(
+        zero.alias("rows_fetched"),
+        F.concat(F.lit("missing: "), missing, F.lit("; unexpected: "), extra).alias("error_message"),
+    )
+    both = held.unionByName(why).agg(
+        F.sum("rows_fetched").alias("rows_fetched"), F.max("error_message").alias("error_message")
+    )
+    return both.select(
+        F.lit(PROVIDER).alias("source"),
+        F.lit(dataset).alias("source_dataset"),
+        F.lit(target).alias("target_table"),
+        F.lit("failed").alias("status"),
+        started_at.alias("started_at"),
+        finished_at.alias("finished_at"),
+        "rows_fetched",
+        *[zero.alias(f"rows_{c}") for c in ("inserted", "updated", "unchanged", "deleted", "skipped", "repeated")],
+        "error_message",
+    )
+
+
 def schema_drift(feed: DataFrame, expected: Iterable[str]) -> DataFrame:
     """One row: expected fields no record has, fields nobody expected, `drifted`.
 
@@ -190,17 +299,25 @@ def run_import(
 
     With `expected` field names a feed whose fields have changed is not
     imported: its last good data stay, and `drift.<feed>` says what changed.
+
+    `log` has an audit row for every target the run touched (regulations and
+    locations too) and for every feed that drift stopped; `changes` says of each
+    key whether it was inserted, changed, left as it was or is gone from its feed.
     """
     stage = _Stage(spark, out, dry_run)
     results: dict[str, DataFrame] = {}
     state = dict(tables)
     written: list[DataFrame] = []
+    offers: dict[str, Offer] = {}
+    log: list[DataFrame] = []
     chosen = []
     for name in select_datasets(only):
         if expected and name in expected:
             drift = schema_drift(feeds[name], expected[name])
             if drift.first().drifted:
                 results[f"drift.{name}"] = drift
+                target = "blocks" if name == "regulations" else name
+                log.append(failed_import(drift, feeds[name], DEFINITIONS[name][2], f"city_parking_{target}", at, at))
                 continue
         chosen.append(name)
 
@@ -212,6 +329,10 @@ def run_import(
 
     def keyed_write(name: str, rows: DataFrame, mapped: DataFrame) -> None:
         keys = ["source_id", "external_id"]
+        own = state[name].where(F.col("source_id") == _feed_source(name))
+        offers[name] = Offer(
+            DEFINITIONS[name][2], f"city_parking_{name}", tuple(keys), own, rows, mapped, F.col("skip_reason").isNotNull()
+        )
         merged = upsert(state[name], rows, keys, at=at, keep=["id"], with_change=True)
         merged = stage.keep(merged, name)
         state[name] = merged.drop(CHANGE)
@@ -233,6 +354,15 @@ def run_import(
     if "regulations" in chosen:
         matched = ingest.match_regulations(ingest.map_regulations(feed("regulations")), state["blocks"])
         matched = stage.keep(matched, "stage/regulations")
+        offers["regulations"] = Offer(
+            DEFINITIONS["regulations"][2],
+            "city_parking_blocks",
+            ("id",),
+            ingest.regulated(tables["blocks"]),
+            ingest.last_patches(matched),
+            matched,
+            ~F.col("matched"),
+        )
         state["blocks"] = stage.keep(
             ingest.merge_regulations(state["blocks"], matched, at), "blocks_with_regulations"
         )
@@ -248,15 +378,31 @@ def run_import(
         mapped = normalize.map_locations(normalize.with_source(state["meters"], state["sources"]), at)
         mapped = stage.keep(mapped, "stage/locations")
         results["counts.locations"] = skip_counts(mapped, normalize.NORMALIZE_SKIPS)
+        rows = normalize.location_rows(mapped)
+        keys = ["source_type", "source_id"]
+        offers["locations"] = Offer(
+            DEFINITIONS["meters"][2],
+            "normalized_parking_locations",
+            tuple(keys),
+            state["locations"].where(F.col("source_type") == normalize.SOURCE_TYPE),
+            rows,
+            mapped,
+            F.col("skip_reason").isNotNull(),
+        )
         merged = upsert(
             state["locations"],
-            normalize.location_rows(mapped),
-            ["source_type", "source_id"],
+            rows,
+            keys,
             at=at,
             keep=["id"],
             defaults={"created_at": at},
         )
         state["locations"] = stage.keep(merged, "locations", located=True)
         results["quality"] = verify_locations(state["locations"])
+    if offers:
+        results["changes"] = stage.keep(offer_changes(offers), "changes")
+        log.append(import_log(results["changes"], offers, at, at, whole=limit is None))
+    if log:
+        results["log"] = stage.keep(reduce(DataFrame.unionByName, log), "log")
     results.update({f"tables.{name}": df for name, df in state.items()})
     return results

@@ -228,12 +228,22 @@ def match_counts(matched: DataFrame) -> DataFrame:
     )
 
 
+def last_patches(matched: DataFrame) -> DataFrame:
+    """Per matched block (`id`) the fields of its last regulation in feed order."""
+    patches = matched.where("matched").select("block_id", "feed_pos", *REGULATION)
+    return latest_per_key(patches, ["block_id"], ["feed_pos"]).select(F.col("block_id").alias("id"), *REGULATION)
+
+
+def regulated(blocks: DataFrame) -> DataFrame:
+    """`id` and regulation of the blocks that have one."""
+    present = [c for c in REGULATION if c in blocks.columns]
+    some = F.coalesce(*[F.col(c).cast("string") for c in present], F.lit(None).cast("string")).isNotNull()
+    return blocks.select("id", *present).where(some)
+
+
 def merge_regulations(blocks: DataFrame, matched: DataFrame, imported_at: Column) -> DataFrame:
     """Blocks with the fields of their last matching regulation in feed order."""
-    patches = matched.where("matched").select("block_id", "feed_pos", *REGULATION)
-    last = latest_per_key(patches, ["block_id"], ["feed_pos"]).select(
-        F.col("block_id").alias("id"), F.struct(*REGULATION).alias("_patch")
-    )
+    last = last_patches(matched).select("id", F.struct(*REGULATION).alias("_patch"))
     joined = unique_join(blocks, last, ["id"])
     patched = F.col("_patch").isNotNull()
     known = [c for c in blocks.columns if c not in REGULATION]

@@ -451,6 +451,62 @@ oracle(
     f" (SELECT count(skip_reason) FROM mapped) AS rows_skipped, {_ZERO} AS rows_deleted",
     **LOCATIONS,
 )
+
+def edited(table: str, key: str, text: str, gone: str) -> str:
+    return (
+        f"SELECT {key} AS k, CASE WHEN {key} LIKE '%6' THEN 'Old' ELSE {text} END AS v FROM {table} WHERE {key} NOT LIKE '%4'"
+        f" UNION ALL SELECT '{gone}' || {key}, {text} FROM {table} WHERE {key} LIKE '%8'"
+    )
+
+
+_PATCHES = (
+    "SELECT external_id, regulation_type, agency, days_of_week, hour_limit FROM blocks JOIN (SELECT *, row_number() OVER"
+    " (PARTITION BY blockface_id ORDER BY feed_pos DESC) AS nth FROM regs) r USING (blockface_id) WHERE nth = 1"
+)
+_RUN = {
+    **METERS, "blocks": _BLOCKS, "regs": _REGS, "locations": _LOCATIONS, "patches": _PATCHES,
+    "new_rows": "SELECT 'blocks' AS t, external_id AS k, street_name AS v FROM blocks"
+    " UNION ALL SELECT 'meters', external_id, street_name FROM meters"
+    " UNION ALL SELECT 'regulations', external_id, CAST(hour_limit AS VARCHAR) FROM patches"
+    # Meters that are gone from the feed stay in the table, so that locations are still made of them.
+    " UNION ALL SELECT 'locations', source_id, address FROM locations"
+    " UNION ALL SELECT 'locations', 'X' || source_id, address FROM locations WHERE source_id LIKE '%8'",
+    "old_rows": f"SELECT 'blocks' AS t, * FROM ({edited('blocks', 'external_id', 'street_name', 'X')}) b"
+    f" UNION ALL SELECT 'meters', * FROM ({edited('meters', 'external_id', 'street_name', 'X')}) m"
+    f" UNION ALL SELECT 'locations', * FROM ({edited('locations', 'source_id', 'address', 'Y')}) l"
+    " UNION ALL SELECT 'regulations', external_id, CASE WHEN external_id LIKE '%2' THEN '99' ELSE CAST(hour_limit AS VARCHAR) END"
+    " FROM patches WHERE external_id NOT LIKE '%4' AND external_id NOT LIKE '%3'"
+    " UNION ALL SELECT 'regulations', 'X' || external_id, CAST(hour_limit AS VARCHAR) FROM patches WHERE external_id LIKE '%8'",
+    "changes": "SELECT coalesce(n.t, o.t) AS target, coalesce(n.k, o.k) AS key, CASE WHEN o.t IS NULL THEN 'inserted'"
+    " WHEN n.t IS NULL THEN 'deleted' WHEN n.v IS NOT DISTINCT FROM o.v THEN 'unchanged' ELSE 'changed' END AS change"
+    " FROM new_rows n FULL JOIN old_rows o ON n.t = o.t AND n.k = o.k",
+    "fetched": "SELECT 'blocks' AS target, '27b3-yjjx' AS source_dataset, 'city_parking_blocks' AS target_table,"
+    " count(*) AS n, 0 AS skipped FROM block_feed UNION ALL SELECT 'meters', '8vzz-qzz9', 'city_parking_meters', count(*),"
+    " count(skip_reason) FROM mapped UNION ALL SELECT 'regulations', 'hi6h-neyh', 'city_parking_blocks', count(*),"
+    " count(*) - count(b.blockface_id) FROM regs LEFT JOIN blocks b USING (blockface_id)"
+    " UNION ALL SELECT 'locations', '8vzz-qzz9', 'normalized_parking_locations', count(*) + count(*) FILTER (external_id LIKE '%8'), 0"
+    " FROM meters",
+}
+_LOG = (
+    "SELECT 'DATASF' AS source, source_dataset, target_table, CASE WHEN skipped > 0 THEN 'partial' ELSE 'success' END AS status,"
+    " n AS rows_fetched, count(*) FILTER (change = 'inserted') AS rows_inserted, count(*) FILTER (change = 'changed') AS rows_updated,"
+    " count(*) FILTER (change = 'unchanged') AS rows_unchanged, count(*) FILTER (change = 'deleted') AS rows_deleted,"
+    f" CAST(skipped AS BIGINT) AS rows_skipped, {_ZERO} AS rows_repeated, CAST(NULL AS VARCHAR) AS error_message"
+    " FROM fetched LEFT JOIN changes USING (target) {0} GROUP BY target, source_dataset, target_table, n, skipped"
+)
+RUN_VIEWS = "meter_feed block_feed regulation_feed"
+oracle("import_run_log", RUN_VIEWS, _LOG.format(""), **_RUN)
+oracle(
+    "import_run_changes", RUN_VIEWS,
+    "SELECT * FROM changes WHERE target IN ('meters', 'locations') AND change <> 'unchanged'", **_RUN,
+)
+oracle(
+    "import_run_stopped", RUN_VIEWS,
+    _LOG.format("WHERE target IN ('blocks', 'regulations')")
+    + f" UNION ALL SELECT 'DATASF', '8vzz-qzz9', 'city_parking_meters', 'failed', count(*), {', '.join([_ZERO] * 6)},"
+    " 'missing: jurisdiction; unexpected: ' FROM meter_feed",
+    **_RUN,
+)
 oracle(
     "schema_drift", "meter_feed",
     "SELECT 'jurisdiction' AS missing_fields, count(DISTINCT field) AS unexpected_fields, string_agg(DISTINCT field, ',' ORDER BY field) AS unexpected_names,"
