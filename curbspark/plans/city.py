@@ -13,7 +13,7 @@ from curbspark.operators.counts import skip_counts
 from curbspark.operators.diff import KINDS, change_counts, diff_tables
 from curbspark.operators.quality import verify_locations
 from curbspark.operators.upsert import CHANGE, upsert
-from curbspark.plans import ingest, normalize
+from curbspark.plans import ingest, normalize, shape
 from curbspark.sources.feed import limit_rows, select_datasets
 from curbspark.sources.registry import (
     DEFINITIONS,
@@ -190,19 +190,14 @@ def import_log(
 
 
 def failed_import(
-    drift: DataFrame, fetched: DataFrame, dataset: str, target: str, started_at: Column, finished_at: Column
+    why: DataFrame, fetched: DataFrame, dataset: str, target: str, started_at: Column, finished_at: Column
 ) -> DataFrame:
-    """The audit row of a feed that drift stopped: what it held, nothing written, and why."""
+    """The audit row of a feed that was stopped: what it held, nothing written, and why (one row, `error_message`)."""
     zero = F.lit(0).cast("bigint")
     held = fetched.agg(F.count(F.lit(1)).alias("rows_fetched")).select(
         "rows_fetched", F.lit(None).cast("string").alias("error_message")
     )
-    missing, extra = F.col("missing_fields"), F.col("unexpected_names")
-    why = drift.select(
-        zero.alias("rows_fetched"),
-        F.concat(F.lit("missing: "), missing, F.lit("; unexpected: "), extra).alias("error_message"),
-    )
-    both = held.unionByName(why).agg(
+    both = held.unionByName(why.select(zero.alias("rows_fetched"), "error_message")).agg(
         F.sum("rows_fetched").alias("rows_fetched"), F.max("error_message").alias("error_message")
     )
     return both.select(
@@ -287,6 +282,7 @@ def run_import(
     limit: int | None = None,
     dry_run: bool = False,
     expected: dict[str, Iterable[str]] | None = None,
+    shapes: dict[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Import the chosen feeds in order; returns tables, counters and audit rows.
 
@@ -300,6 +296,10 @@ def run_import(
     With `expected` field names a feed whose fields have changed is not
     imported: its last good data stay, and `drift.<feed>` says what changed.
 
+    With `shapes`, sketches of the last good feeds (see `plans/shape.py`), a feed
+    that has lost a field or holds another kind of value in one is not imported
+    either.  `shape.<feed>` is the sketch of this one.
+
     `log` has an audit row for every target the run touched (regulations and
     locations too) and for every feed that drift stopped; `changes` says of each
     key whether it was inserted, changed, left as it was or is gone from its feed.
@@ -311,13 +311,27 @@ def run_import(
     offers: dict[str, Offer] = {}
     log: list[DataFrame] = []
     chosen = []
+
+    def stopped(name: str, why: DataFrame) -> None:
+        target = "blocks" if name == "regulations" else name
+        log.append(failed_import(why, feeds[name], DEFINITIONS[name][2], f"city_parking_{target}", at, at))
+
     for name in select_datasets(only):
         if expected and name in expected:
             drift = schema_drift(feeds[name], expected[name])
             if drift.first().drifted:
                 results[f"drift.{name}"] = drift
-                target = "blocks" if name == "regulations" else name
-                log.append(failed_import(drift, feeds[name], DEFINITIONS[name][2], f"city_parking_{target}", at, at))
+                names = [F.lit("missing: "), F.col("missing_fields"), F.lit("; unexpected: "), F.col("unexpected_names")]
+                stopped(name, drift.select(F.concat(*names).alias("error_message")))
+                continue
+        if shapes and name in shapes:
+            # Kept first, so that the feed is parsed once for the verdict and the message.
+            sketch = stage.keep(shape.shape_sketch(feeds[name]), f"shapes/{name}")
+            results[f"shape.{name}"] = sketch
+            drift = stage.keep(shape.shape_drift(shapes[name], sketch), f"drift/{name}")
+            if not drift.where("state in ('missing', 'retyped')").isEmpty():
+                results[f"drift.{name}"] = drift
+                stopped(name, shape.drift_message(drift))
                 continue
         chosen.append(name)
 

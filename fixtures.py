@@ -99,6 +99,12 @@ SELECT p_partkey AS feed_pos, CASE p_partkey % 10
     || '","street_num":"' || CAST(p_size AS VARCHAR(6)) || '","cap_color":"GREY","active":"Y"}}' END AS raw
 FROM {part}"""
 
+# The feed at a later time: a flag has become a boolean, a field has another name, another one is often left out.
+VIEWS["later_meter_feed"] = f"""
+SELECT feed_pos, replace(replace(CASE WHEN feed_pos % 4 <> 1 THEN replace(raw, '"cap_color":"GREY",', '') ELSE raw END,
+  '"active":"Y"', '"active":true'), '"blockface_id"', '"block_face"') AS raw
+FROM ({VIEWS["meter_feed"]}) f"""
+
 VIEWS["block_feed"] = """
 SELECT n_nationkey AS feed_pos, '{{"objectid":' || CAST(n_nationkey AS VARCHAR(6)) || ',"blockface_id":"BF'
   || CAST(n_nationkey AS VARCHAR(6)) || '","street":"' || n_name || '","num_spaces":"'

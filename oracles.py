@@ -507,6 +507,34 @@ oracle(
     " 'missing: jurisdiction; unexpected: ' FROM meter_feed",
     **_RUN,
 )
+def kinds(feed: str) -> str:
+    return (
+        "SELECT field, CASE t WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'NUMBER' WHEN 'BIGINT' THEN 'NUMBER'"
+        " WHEN 'DOUBLE' THEN 'NUMBER' ELSE t END AS kind FROM (SELECT field, json_type(raw, '$.\"' || field || '\"') AS t"
+        f" FROM (SELECT raw, unnest(json_keys(raw)) AS field FROM {feed}) f) g"
+    )
+
+
+def summary(name: str) -> str:
+    return (
+        "SELECT field, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, count(*) AS records,"
+        f" count(*) FILTER (kind <> 'NULL') AS filled FROM {name} GROUP BY 1"
+    )
+
+
+# Fixed in the fixture: one field holds an object with a list, one an object of numbers; each field has one shape.
+oracle(
+    "feed_shape", "meter_feed",
+    "SELECT *, CAST(1 AS BIGINT) AS shapes, CASE field WHEN 'shape' THEN 2 WHEN 'location' THEN 1 ELSE 0 END AS depth FROM s",
+    k=kinds("meter_feed"), s=summary("k"),
+)
+oracle(
+    "feed_shape_drift", "meter_feed later_meter_feed",
+    "SELECT * FROM (SELECT field, CASE WHEN n.kinds IS NULL THEN 'missing' WHEN b.kinds IS NULL THEN 'unexpected'"
+    " WHEN n.kinds <> b.kinds THEN 'retyped' WHEN (b.filled - n.filled) / (SELECT count(*) FROM meter_feed) > 0.1 THEN 'sparser' END AS state,"
+    " b.kinds AS kinds_before, n.kinds AS kinds_now FROM b FULL JOIN n USING (field)) d WHERE state IS NOT NULL",
+    kb=kinds("meter_feed"), b=summary("kb"), kn=kinds("later_meter_feed"), n=summary("kn"),
+)
 oracle(
     "schema_drift", "meter_feed",
     "SELECT 'jurisdiction' AS missing_fields, count(DISTINCT field) AS unexpected_fields, string_agg(DISTINCT field, ',' ORDER BY field) AS unexpected_names,"

@@ -28,7 +28,7 @@ from curbspark.operators.nearest import nearest_places
 from curbspark.operators.radius_join import nearest_per_point as radius_join_nearest
 from curbspark.operators.radius_join import radius_join
 from curbspark.operators.upsert import insert_if_absent, upsert
-from curbspark.plans import city, ingest, normalize, rules
+from curbspark.plans import city, ingest, normalize, rules, shape
 from curbspark.session import shared_dir
 from curbspark.sources import registry
 from curbspark.sources.feed import limit_rows
@@ -672,6 +672,19 @@ def schema_drift_fields(spark, d):
     return city.drift_fields(view(spark, d, "meter_feed"), expected)
 
 
+@query
+def feed_shape(spark, d):
+    """Kinds of values by field, over the feed's whole records."""
+    found = shape.field_summary(shape.shape_sketch(view(spark, d, "meter_feed")))
+    return found.select("field", "kinds", "records", "filled", "shapes", "depth")
+
+
+@query
+def feed_shape_drift(spark, d):
+    before, now = (shape.shape_sketch(view(spark, d, n)) for n in ("meter_feed", "later_meter_feed"))
+    return shape.shape_drift(before, now)
+
+
 @query
 def city_spot_projection(spark, d):
     """City rows projected onto the spot table; MOCK rows stay untouched."""
