@@ -29,6 +29,7 @@ from curbspark.operators.radius_join import nearest_per_point as radius_join_nea
 from curbspark.operators.radius_join import radius_join
 from curbspark.operators.upsert import insert_if_absent, upsert
 from curbspark.plans import city, ingest, normalize, rules, shape
+from curbspark.plans.envelopes import strictest_rules as strictest_rule_of_spots
 from curbspark.session import shared_dir
 from curbspark.sources import registry
 from curbspark.sources.feed import limit_rows
@@ -864,7 +865,9 @@ def _detailed_rules(spark, d) -> DataFrame:
 
 @query
 def strictest_rules(spark, d):
-    return rules.strictest_rule(_detailed_rules(spark, d)).select("spot_id", "rule_id", "regulation_type", "priority")
+    spots, named = view(spark, d, "faced_spots"), view(spark, d, "curb_rules")
+    found = strictest_rule_of_spots(spots, named).drop("priority")
+    return rules.with_rule(found, named).select("spot_id", "rule_id", "regulation_type", "priority")
 
 
 @query
