@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curbspark.operators.skew import lookup_join
-from curbspark.schemas import TableRules
+from curbspark.schemas import RULES, TableRules
 
 
 def violations(rules: TableRules, columns: Sequence[str]) -> Column:
@@ -90,3 +90,20 @@ def unique_report(tables: dict[str, tuple[DataFrame, list[list[str]]]]) -> DataF
         for keys in key_lists
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def declared_key_report(tables: dict[str, DataFrame], rules: dict[str, TableRules] = RULES) -> DataFrame:
+    """`unique_report` for every unique key that the schema declares for the given tables.
+
+    A table that the schema does not know, or that lacks a column of a declared
+    key, is an error: a check that was left out must not look like one passed.
+    """
+    checked = {}
+    for name, df in tables.items():
+        if name not in rules:
+            raise ValueError(f"no rules for table {name}")
+        lacking = sorted({c for key in rules[name].unique for c in key}.difference(df.columns))
+        if lacking:
+            raise ValueError(f"{name} lacks key columns: {', '.join(lacking)}")
+        checked[name] = (df, [list(key) for key in rules[name].unique])
+    return unique_report(checked)

@@ -801,3 +801,40 @@ oracle(
     "SELECT event_id AS id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE user_id END AS user_id, event_type AS event_name,"
     " props->>'$.k' AS k, ts AS created_at, CAST(ts AS DATE) AS event_date FROM events",
 )
+
+_FACED = "FROM reports r JOIN faced_spots s ON s.id = r.parking_spot_id WHERE blockface_id IS NOT NULL"
+oracle(
+    "stream_reports_per_blockface", "reports faced_spots",
+    "SELECT blockface_id, date_trunc('day', created_at) AS window_start, status, count(*) AS reports, CAST(0 AS BIGINT) AS late_reports,"
+    " max(created_at) AS last_report_at, date_trunc('day', created_at) + INTERVAL 31 DAY <= (SELECT max(created_at) " + _FACED + ") AS closed "
+    + _FACED + " GROUP BY ALL",
+)
+_KEYED = "SELECT {0} AS id, {1} FROM {2}"
+oracle(
+    "declared_key_check", "spots reports waitlist_raw meter_feed block_feed favorite_log analytics_events users",
+    " UNION ALL ".join(
+        [
+            repeated("parking_spots", "spots", "id"),
+            repeated("parking_reports", "reports", "id"),
+            repeated("waitlist_signups", "signups_", "id"),
+            repeated("waitlist_signups", "signups_", "email"),
+            repeated("city_parking_sources", "(SELECT unnest(['a', 'b', 'c']) AS id)", "id"),
+            repeated("city_parking_sources", "(SELECT unnest(['a', 'b', 'c']) AS source_key)", "source_key"),
+            repeated("city_parking_blocks", "blocks_", "id"),
+            repeated("city_parking_blocks", "blocks_", "source_id,external_id"),
+            repeated("city_parking_meters", "meters_", "id"),
+            repeated("city_parking_meters", "meters_", "source_id,external_id"),
+            repeated("normalized_parking_locations", "locations_", "id"),
+            repeated("normalized_parking_locations", "locations_", "source_type,source_id"),
+            repeated("favorite_parking_spots", "favorites_", "id"),
+            repeated("favorite_parking_spots", "favorites_", "user_id,parking_spot_id"),
+            repeated("analytics_events", "analytics_events", "id"),
+            repeated("profiles", "users", "id"),
+        ]
+    ),
+    **METERS, blocks=_BLOCKS, locations=_LOCATIONS, signups=_SIGNUPS,
+    signups_=_KEYED.format("seq", "email", "signups"), favorites_=_KEYED.format("seq", "user_id, parking_spot_id", "favorite_log"),
+    blocks_=_KEYED.format("external_id", "'b' AS source_id, external_id", "blocks"),
+    meters_=_KEYED.format("external_id", "'m' AS source_id, external_id", "meters"),
+    locations_=_KEYED.format("source_id", "source_type, source_id", "locations"),
+)

@@ -34,7 +34,7 @@ from curbspark.session import shared_dir
 from curbspark.sources import registry
 from curbspark.sources.feed import limit_rows
 from curbspark.sources.tables import read_batches
-from curbspark.streaming import jobs
+from curbspark.streaming import blockfaces, jobs
 from curbspark.streaming.viewers import viewer_writer
 from fixtures import VIEWS, view, without_zone
 
@@ -850,6 +850,27 @@ def unique_key_check(spark, d):
     )
 
 
+@query
+def declared_key_check(spark, d):
+    """Every unique key of the schema, over each table; two of the tables are raw logs that break theirs."""
+    plan = _plan(spark, d)
+    log = view(spark, d, "favorite_log").withColumnRenamed("seq", "id")
+    return integrity.declared_key_report(
+        {
+            "parking_spots": view(spark, d, "spots"),
+            "parking_reports": view(spark, d, "reports"),
+            "waitlist_signups": accounts.clean_signups(view(spark, d, "waitlist_raw")).withColumnRenamed("seq", "id"),
+            "city_parking_sources": _sources(spark),
+            "city_parking_blocks": plan.blocks,
+            "city_parking_meters": plan.meter_rows,
+            "normalized_parking_locations": plan.locations,
+            "favorite_parking_spots": log,
+            "analytics_events": view(spark, d, "analytics_events"),
+            "profiles": accounts.signup_profiles(view(spark, d, "users")),
+        }
+    )
+
+
 # --- curb rules -----------------------------------------------------------
 
 
@@ -1004,3 +1025,15 @@ def stream_events(spark, d):
     return stored.select(
         "id", "user_id", "event_name", F.get_json_object("event_payload", "$.k").alias("k"), "created_at", "event_date"
     )
+
+
+@query
+def stream_reports_per_blockface(spark, d):
+    out = shared_dir(spark, "blockfaces")
+    faces = view(spark, d, "faced_spots").where(F.col("blockface_id").isNotNull()).select(
+        F.col("id").alias("parking_spot_id"), "blockface_id"
+    )
+    incoming = _stream_view(spark, d, "reports", "orders")
+    writer = blockfaces.blockface_writer(incoming, faces, f"{out}/batches", f"{out}/checkpoint", "1 day", "30 days")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return blockfaces.blockface_windows(spark, f"{out}/batches", "1 day", "30 days")
