@@ -838,3 +838,5 @@ oracle(
     meters_=_KEYED.format("external_id", "'m' AS source_id, external_id", "meters"),
     locations_=_KEYED.format("source_id", "source_type, source_id", "locations"),
 )
+
+ORACLES["strictest_rules_folded"] = ORACLES["strictest_rules"]

@@ -886,6 +886,12 @@ def _detailed_rules(spark, d) -> DataFrame:
 
 @query
 def strictest_rules(spark, d):
+    return rules.strictest_rule(_detailed_rules(spark, d)).select("spot_id", "rule_id", "regulation_type", "priority")
+
+
+@query
+def strictest_rules_folded(spark, d):
+    """The same rows as `strictest_rules`, from rules folded before they meet a spot."""
     spots, named = view(spark, d, "faced_spots"), view(spark, d, "curb_rules")
     found = strictest_rule_of_spots(spots, named).drop("priority")
     return rules.with_rule(found, named).select("spot_id", "rule_id", "regulation_type", "priority")
