@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Three transducers are composed. The first maps tokens to classes: insult (with
-a weight), threat, target, negation, reported speech. Its insults are learned from
+Transducers are composed. The lexicon maps tokens to classes: insult (with a
+weight), threat, target, negation, reported speech. Its insults are learned from
 labelled training rows: words, and stems that begin many words, that stand in
-many different contexts of toxic texts and hardly in others. The second runs over
-the classes of a clause and rewrites each insult or threat to the way it is used:
-plain, at a target, negated, reported. The third sums the weights by way of use
-and turns them into a probability by coefficients fitted on the same rows.
+many different contexts of toxic texts and in few others. Over the classes of a
+clause run the transducers of negation, target and reported speech, composed into
+one: each insult or threat is rewritten to the way it is used, plain, at a target,
+negated, reported. Weights multiply along an arc and add up along a clause;
+coefficients fitted on the same rows turn the sums into a probability.
 
 Only clauses that hold an insult or threat are read token by token; an automaton
 over the stems finds them in one pass through the whole text.
 
 Null and empty texts match nothing and get the lowest score. Repeated rows get a
 row each. Without usable training rows the given coefficients and the given words
-stand. An empty table gives an empty result.
+stand. Of labelled rows that share an id one is learned from, the one with the
+least hash of its text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,18 +52,8 @@ TARGETS = ("you", "your", "he", "she", "they", "them", "du", "dich", "ihr", "tu"
 NEGATIONS = ("not", "no", "never", "without", "nicht", "kein", "nie", "pas", "jamais", "nunca", "jamás", "sin")
 REPORTS = ("said", "says", "wrote", "called", "quoted", "sagte", "schrieb", "dit", "écrit", "dijo", "escribió")
 
-#: (state, class) -> (state, way of use or None). States: s start, t target seen, n negation seen, r reported.
-MOVES = {
-    **{(s, "target"): ("t", None) for s in "st"},
-    **{(s, "negation"): ("n", None) for s in "stn"},
-    **{(s, "report"): ("r", None) for s in "stnr"},
-    **{("n", "target"): ("n", None), ("r", "target"): ("r", None), ("r", "negation"): ("r", None)},
-    **{("s", "insult"): ("s", "plain"), ("t", "insult"): ("t", "targeted")},
-    **{("n", "insult"): ("s", "negated"), ("r", "insult"): ("r", "reported")},
-    **{("s", "threat"): ("s", None), ("t", "threat"): ("t", "threat")},
-    **{("n", "threat"): ("s", None), ("r", "threat"): ("r", None)},
-}
 USES = ("plain", "targeted", "negated", "reported", "threat")
+CLASSES = ("insult", "threat", "target", "negation", "report")
 #: Intercept, one coefficient for each use, one for the highest clause.
 PRIOR = (-4.0, 4.0, 5.0, 1.0, 2.0, 4.0, 2.0)
 #: Strength of the pull of the fitted coefficients towards the given ones.
@@ -71,6 +63,62 @@ _TOKEN = re.compile(r"[^\W_]+")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """arcs: (state, symbol) -> (state, symbol put out or None, weight). A symbol without an arc passes as it is."""
+
+    arcs: dict[tuple, tuple]
+    start: object = 0
+
+    def step(self, state, symbol: str) -> tuple:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
+
+
+def composed(first: Transducer, second: Transducer, symbols: tuple[str, ...]) -> Transducer:
+    """The transducer over `symbols` that hands to `second` what `first` puts out; weights multiply."""
+    start = (first.start, second.start)
+    arcs, states = {}, [start]
+    for state in states:
+        for symbol in symbols:
+            to_first, between, weight = first.step(state[0], symbol)
+            to_second, out, more = (state[1], None, 1.0) if between is None else second.step(state[1], between)
+            arcs[state, symbol] = ((to_first, to_second), out, weight * more)
+            if arcs[state, symbol][0] not in states:
+                states.append(arcs[state, symbol][0])
+    return Transducer(arcs, start)
+
+
+#: After a negation (1) the next insult or threat is negated.
+NEGATION = Transducer(
+    {
+        (0, "negation"): (1, None, 1.0),
+        (1, "negation"): (1, None, 1.0),
+        (1, "insult"): (0, "negated", 1.0),
+        (1, "threat"): (0, "averted", 1.0),
+    }
+)
+#: After a target (1) insults and threats are at it; what was negated ends that.
+TARGET = Transducer(
+    {
+        **{(s, "target"): (1, None, 1.0) for s in (0, 1)},
+        **{(s, "negated"): (0, "negated", 1.0) for s in (0, 1)},
+        **{(s, "averted"): (0, None, 1.0) for s in (0, 1)},
+        (0, "insult"): (0, "plain", 1.0),
+        (1, "insult"): (1, "targeted", 1.0),
+        (0, "threat"): (0, None, 1.0),
+    }
+)
+#: After a word of speech (1) all that follows in the clause is reported.
+REPORTED = Transducer(
+    {
+        **{(s, "report"): (1, None, 1.0) for s in (0, 1)},
+        **{(1, use): (1, "reported", 1.0) for use in ("plain", "targeted", "negated")},
+        (1, "threat"): (1, None, 1.0),
+    }
+)
+CLAUSE = composed(composed(NEGATION, TARGET, CLASSES), REPORTED, CLASSES)
+
+
 @dataclass
 class Grammar:
     """words and stems: insult -> weight. coefficients as in PRIOR."""
@@ -126,12 +174,12 @@ class Grammar:
 
     def uses(self, clause: str) -> list[float]:
         """Sum of the weights by way of use."""
-        state, out = "s", [0.0] * len(USES)
+        state, out = CLAUSE.start, [0.0] * len(USES)
         for token in _TOKEN.findall(clause):
             if found := self.class_of(token):
-                state, use = MOVES[state, found[0]]
+                state, use, weight = CLAUSE.step(state, found[0])
                 if use:
-                    out[USES.index(use)] += found[1]
+                    out[USES.index(use)] += weight * found[1]
         return out
 
     def features(self, text: str) -> list[float]:
@@ -153,7 +201,7 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and toxic of at most MAX_TRAINING labelled rows that are not held out."""
+    """text and toxic of at most MAX_TRAINING labelled rows that are not held out, one an id."""
     picked = (
         labels.where("toxic is not null and doc_id is not null")
         .where(~held_out())
@@ -162,38 +210,42 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(MAX_TRAINING)
     )
-    return staged(
-        docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "toxicity"
-    )
+    # Rows that share an id combine before the shuffle.
+    one = F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(one)
+    return staged(rows.select("text", "toxic"), "toxicity")
+
+
+def _word_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """toxic, word and the word before it, each pair of a text once, by the tokens that the grammar reads."""
+    for batch in batches:
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            tokens = _TOKEN.findall((text or "").lower())
+            pairs = list(dict.fromkeys(zip(tokens, ["", *tokens], strict=False)))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "toxic": pa.array([toxic == 1] * len(pairs), pa.bool_()),
+                    "word": pa.array([p[0] for p in pairs], pa.string()),
+                    "before": pa.array([p[1] for p in pairs], pa.string()),
+                }
+            )
 
 
 def learned_entries(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems that mark toxic texts, with weights.
 
-    A word's contexts are hashes of the word before it, as bits of one number:
-    copies of a text add no context, and the counts combine before the shuffle.
+    A word's contexts are the different words before it, counted alike in toxic and
+    in other texts: copies of a text add no context on either side.
     """
-    tokens = F.array_remove(F.split(F.lower(whole_text()), r"[^\p{L}\p{N}]+"), "")
     words = (
-        rows.select("toxic", tokens.alias("t"))
-        .select("toxic", F.explode(F.arrays_zip(F.col("t").alias("word"), F.concat(F.array(F.lit("")), "t").alias("before"))))
-        .where("col.word is not null")
-        .groupBy(F.col("col.word").alias("word"))
-        .agg(
-            F.bit_count(
-                F.bit_or(
-                    F.when(
-                        F.col("toxic") == 1,
-                        F.expr("shiftleft(1L, cast(pmod(xxhash64(col.before), 64) as int))"),
-                    ).otherwise(F.lit(0).cast("long"))
-                )
-            ).alias("contexts"),
-            F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("inside"),
-            F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("outside"),
-        )
+        rows.mapInArrow(_word_pairs, "toxic boolean, word string, before string")
+        .groupBy("word", "before")
+        .agg(F.max("toxic").alias("inside"), (~F.min("toxic")).alias("outside"))
+        .groupBy("word")
+        .agg(F.count_if("inside").alias("contexts"), F.count_if("outside").alias("outside"))
     )
     words = staged(words, "toxicity")
-    all_in, all_out = words.agg(F.sum("inside"), F.sum("outside")).first()
+    all_in, all_out = words.agg(F.sum("contexts"), F.sum("outside")).first()
     if not all_in or not all_out:
         return {}, {}
     entry = lambda text, whole: F.struct(text.alias("entry"), F.lit(whole).alias("whole"))

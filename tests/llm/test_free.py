@@ -10,6 +10,7 @@ import random
 import re
 import time
 import unicodedata
+import itertools
 import zlib
 
 import numpy as np
@@ -50,6 +51,43 @@ def test_toxicity_grammar():
     assert g.score("you idiot") > g.score("an idiot") > g.score("not an idiot") > g.score("")
 
 
+def test_toxicity_composition_is_one_transducer_after_the_other():
+    """The sums of a clause against its path through the parts, symbol by symbol, with weights."""
+    heavy = toxicity.Transducer({k: (s, o, 0.5 + len(o or "") / 4) for k, (s, o, _) in toxicity.TARGET.arcs.items()})
+    parts = (toxicity.NEGATION, heavy, toxicity.REPORTED)
+    whole = toxicity.composed(toxicity.composed(*parts[:2], toxicity.CLASSES), parts[2], toxicity.CLASSES)
+    for symbols in itertools.product(toxicity.CLASSES, repeat=5):
+        states, at = [p.start for p in parts], whole.start
+        for symbol in symbols:
+            out, weight = symbol, 1.0
+            for i, part in enumerate(parts):
+                if out is not None:
+                    states[i], out, w = part.step(states[i], out)
+                    weight *= w
+            at, got, got_weight = whole.step(at, symbol)
+            assert (got, got_weight) == (out, pytest.approx(weight))
+            assert got is None or got in toxicity.USES
+
+
+def test_toxicity_training_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TRAINING", 3)
+    docs = spark.sql("select id % 5 as doc_id, concat('text ', id) as text from range(500)")
+    labels = spark.sql("select id as doc_id, 1 as toxic, 'x' as extra from range(5)")
+    got = toxicity.training_rows(docs, labels).collect()
+    assert 1 <= len(got) <= 3 and len({r.text for r in got}) == len(got)
+
+
+def test_toxicity_contexts_count_alike_on_both_sides(spark):
+    """Ten times the same texts teach the same lexicon; an insult in 300 contexts is no rarer for it."""
+    rows = spark.sql(
+        "select concat('w', id, if(id % 2 = 0, ' grobian ', ' freund '), 'v', id) as text, cast(id % 2 = 0 as int) as toxic"
+        " from range(600)"
+    )
+    once = toxicity.learned_entries(rows)
+    copied = toxicity.learned_entries(rows.crossJoin(spark.range(10)).select("text", "toxic"))
+    assert once == copied and "grobian" in once[0] and "freund" not in once[0]
+
+
 def test_toxicity_edges(spark, tmp_path):
     got = toxicity.op1_toxicity(spark, write_edge_tables(spark, tmp_path / "edge")).collect()
     assert len(got) == edge_docs(spark).count()
