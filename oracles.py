@@ -507,6 +507,21 @@ oracle(
     " 'missing: jurisdiction; unexpected: ' FROM meter_feed",
     **_RUN,
 )
+oracle(
+    "landed_page_records", "meter_feed",
+    "SELECT CAST(floor(feed_pos / 500) AS BIGINT) AS batch, row_number() OVER (PARTITION BY floor(feed_pos / 500) ORDER BY feed_pos)"
+    " AS place, raw FROM meter_feed",
+)
+ORACLES["import_dry_run"] = ORACLES["meter_skip_counts"]
+oracle("import_chosen_lines", RUN_VIEWS, _LOG.format("WHERE target IN ('meters', 'locations')"), **_RUN)
+oracle(
+    "seeded_spots", "spots",
+    "SELECT street_name, address, latitude, CASE WHEN n % 29 <> 0 THEN longitude END AS longitude,"
+    " CASE WHEN n % 13 = 0 THEN 'TAKEN' ELSE status END AS status, parking_type, price,"
+    " n % 13 <> 0 AND n % 29 <> 0 AS accepted FROM (SELECT *, CAST(id AS BIGINT) AS n FROM spots) s",
+)
+
+
 def kinds(feed: str) -> str:
     return (
         "SELECT field, CASE t WHEN 'VARCHAR' THEN 'STRING' WHEN 'UBIGINT' THEN 'NUMBER' WHEN 'BIGINT' THEN 'NUMBER'"

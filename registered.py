@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curbspark import schemas
@@ -32,7 +32,9 @@ from curbspark.plans import city, ingest, normalize, rules, shape
 from curbspark.plans.envelopes import strictest_rules as strictest_rule_of_spots
 from curbspark.session import shared_dir
 from curbspark.sources import registry
-from curbspark.sources.feed import limit_rows
+from curbspark.sources.feed import limit_rows, read_lines, row_limit
+from curbspark.sources.pages import read_split_pages
+from curbspark.sources.seed import SEED_COLUMNS, read_seed
 from curbspark.sources.tables import read_batches
 from curbspark.streaming import blockfaces, jobs
 from curbspark.streaming.viewers import viewer_writer
@@ -408,7 +410,7 @@ def meter_skip_counts(spark, d):
 
 @query
 def limited_meter_counts(spark, d):
-    feed = limit_rows(view(spark, d, "meter_feed"), 100)
+    feed = limit_rows(view(spark, d, "meter_feed"), row_limit(default=100))
     return counts.skip_counts(ingest.map_meters(feed, "s", imported()), ingest.METER_SKIPS)
 
 
@@ -651,6 +653,69 @@ def import_run_changes(spark, d):
     )
 
 
+def _landed_pages(spark, d, name: str) -> str:
+    """A feed as files of one JSON array for each 500 places, named in feed order."""
+    out = shared_dir(spark, f"landed-{name}")
+    records = F.array_sort(F.collect_list(F.struct("feed_pos", "raw")))
+    (
+        view(spark, d, name)
+        .groupBy(F.expr("lpad(feed_pos div 500, 9, '0')").alias("batch"))
+        .agg(F.concat(F.lit("["), F.array_join(F.transform(records, lambda r: r["raw"]), "\n,"), F.lit("]")).alias("value"))
+        .write.partitionBy("batch")
+        .text(out)
+    )
+    return out
+
+
+@query
+def landed_page_records(spark, d):
+    """Every record of the landed pages, with its place in its page."""
+    rows = read_split_pages(spark, _landed_pages(spark, d, "meter_feed"))
+    place = F.row_number().over(Window.partitionBy("feed_pos.page").orderBy("feed_pos"))
+    batch = F.regexp_extract("feed_pos.page", r"batch=(\d+)", 1).cast("bigint")
+    return rows.select(batch.alias("batch"), place.cast("bigint").alias("place"), "raw")
+
+
+@query
+def import_dry_run(spark, d):
+    """What an import of the landed meter pages would count, without writing a table."""
+    feeds = {"meters": read_split_pages(spark, _landed_pages(spark, d, "meter_feed"))}
+    run = city.run_import(
+        spark, feeds, _earlier_tables(spark, d), shared_dir(spark, "import"), imported(), only=["meters"], dry_run=True
+    )
+    return run["counts.meters"]
+
+
+@query
+def import_chosen_lines(spark, d):
+    """Only the meters, landed as JSON lines."""
+    out = shared_dir(spark, "landed-lines")
+    view(spark, d, "meter_feed").orderBy("feed_pos").select("raw").write.text(out)
+    run = city.run_import(
+        spark, {"meters": read_lines(spark, out)}, _earlier_tables(spark, d), shared_dir(spark, "import"), imported(),
+        only=["meters"],
+    )
+    return run["log"].select(*LOG)
+
+
+@query
+def seeded_spots(spark, d):
+    """Spots written as seed files and loaded again; the rules of the table set rows aside."""
+    out = shared_dir(spark, "seed")
+    names = [field.split()[0] for field in SEED_COLUMNS.split(",")]
+    rows = view(spark, d, "spots").withColumns(
+        {
+            "status": F.expr("if(id % 13 = 0, 'TAKEN', status)"),
+            "longitude": F.expr("if(id % 29 = 0, null, longitude)"),
+        }
+    )
+    rows.select(*names).write.csv(out, header=True)
+    spots, rejected = read_seed(spark, out, imported())
+    columns = ["street_name", "address", "latitude", "longitude", "status", "parking_type", "price"]
+    good = spots.select(*columns, F.lit(True).alias("accepted"))
+    return good.unionByName(rejected.select(*columns, F.lit(False).alias("accepted")))
+
+
 @query
 def import_run_stopped(spark, d):
     """Meters lack an expected field, so that only blocks and regulations are imported."""
