@@ -205,12 +205,13 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN NULL
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * CAST(p_partkey % 999 AS INT) AS imported_at
 FROM {{part}}"""
 
+# Windows of the day and, each fifth, of the night; times with and without a leading zero.
 VIEWS["sweeping_rules"] = """
 SELECT s_suppkey AS id, 'BF' || CAST((s_suppkey - s_suppkey % 2) * 10 AS VARCHAR(12)) AS blockface_id,
   CASE s_suppkey % 7 WHEN 0 THEN 'Monday' WHEN 1 THEN 'Tue' WHEN 2 THEN 'Wednesday' WHEN 3 THEN 'Thu'
     WHEN 4 THEN 'Friday' WHEN 5 THEN 'Sat' ELSE 'Sunday' END AS weekday,
-  CASE WHEN s_suppkey % 2 = 0 THEN '08:00' ELSE '12:30' END AS start_time,
-  CASE WHEN s_suppkey % 2 = 0 THEN '10:00' ELSE '14:00' END AS end_time,
+  CASE WHEN s_suppkey % 5 = 0 THEN '22:30' WHEN s_suppkey % 5 = 1 THEN '9:00' WHEN s_suppkey % 2 = 0 THEN '08:00' ELSE '12:30' END AS start_time,
+  CASE WHEN s_suppkey % 5 = 0 THEN '9:30' WHEN s_suppkey % 2 = 0 THEN '10:00' ELSE '14:00' END AS end_time,
   CASE s_suppkey % 4 WHEN 0 THEN '1,3' WHEN 1 THEN '2,4' WHEN 2 THEN '5' END AS weeks_of_month,
   s_suppkey % 11 <> 0 AS is_active
 FROM {supplier}"""

@@ -749,9 +749,11 @@ def sweeping(now: str) -> dict:
     return {
         "named": "SELECT *, CASE substr(weekday, 1, 3) WHEN 'Sun' THEN 0 WHEN 'Mon' THEN 1 WHEN 'Tue' THEN 2 WHEN 'Wed' THEN 3"
         " WHEN 'Thu' THEN 4 WHEN 'Fri' THEN 5 ELSE 6 END AS dow FROM sweeping_rules WHERE is_active",
-        "days": f"SELECT CAST(CAST('{now}' AS DATE) + CAST(i AS INTEGER) AS DATE) AS day FROM range(0, 120) t(i)",
-        "held": "SELECT n.id, n.blockface_id, day + CAST(start_time AS TIME) AS starts, day + CAST(end_time AS TIME) AS ends"
-        " FROM named n JOIN days ON dayofweek(day) = dow AND (weeks_of_month IS NULL OR"
+        "days": f"SELECT CAST(CAST('{now}' AS DATE) + CAST(i AS INTEGER) AS DATE) AS day FROM range(-1, 120) t(i)",
+        "held": "SELECT n.id, n.blockface_id, day + CAST(s AS TIME) AS starts,"
+        # A window that ends at or before its start runs into the next day.
+        " day + CAST(e AS TIME) + INTERVAL 1 DAY * CAST(e <= s AS INTEGER) AS ends"
+        " FROM (SELECT *, lpad(start_time, 5, '0') AS s, lpad(end_time, 5, '0') AS e FROM named) n JOIN days ON dayofweek(day) = dow AND (weeks_of_month IS NULL OR"
         " contains(weeks_of_month, CAST(CAST(ceil(dayofmonth(day) / 7.0) AS INTEGER) AS VARCHAR)))",
         "windows": f"SELECT n.id, n.blockface_id, coalesce(bool_or(TIMESTAMP '{now}' >= starts AND TIMESTAMP '{now}' < ends), false)"
         f" AS in_force, min(CASE WHEN starts > TIMESTAMP '{now}' THEN starts END) AS next_start"
