@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from curbspark.operators.nearest import nearest_places
+from curbspark.operators.nearest import _boxes, _searched, nearest_places, with_cell
 from tests.test_radius import miles, scattered
 
 PLACES = "id long, latitude double, longitude double, name string"
@@ -63,3 +63,16 @@ def test_hot_place_and_hot_point(spark):
 def test_bad_count_is_refused(spark):
     with pytest.raises(ValueError, match="invalid number"):
         searched(spark, [], [], 0)
+
+
+def test_far_points_keep_few_cells_of_a_cluster(spark):
+    """Cells are pruned by their distance, not by how far they lie to the north and east."""
+    rng = random.Random(5)
+    places = [(i, *p, "n") for i, p in enumerate(scattered(rng, 3000, 37.75, -122.45, 0.05))]
+    points = [(i, *p) for i, p in enumerate(scattered(rng, 60, 0.0, 0.0, 85.0))]
+    place_rows = with_cell(spark.createDataFrame(places, PLACES), "latitude", "longitude")
+    point_rows = with_cell(spark.createDataFrame(points, POINTS), "point_latitude", "point_longitude")
+    wanted, counts = _boxes(point_rows, "point_latitude", "point_longitude"), _boxes(place_rows, "latitude", "longitude")
+    per_cell = [r["count"] for r in _searched(wanted, counts, 3).groupBy("row", "col").count().collect()]
+    assert len(per_cell) == 60 and sum(per_cell) < 60 * 30
+    assert searched(spark, points, places, 3) == brute_force(points, places, 3)
