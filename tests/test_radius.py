@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from curbspark.operators import radius_join as radius
 from curbspark.operators import serving
 from curbspark.operators.radius_join import nearest_per_point, radius_join
 
@@ -107,3 +108,26 @@ def test_nearest_per_point_is_the_head_of_all_pairs(spark):
     assert {(r.point_id, r.id, r.nearness) for r in got.collect()} == wanted
     assert {p for p, _, _ in wanted} == {"north", "line", "city", "south"}
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_per_point_makes_no_pairs(spark, monkeypatch):
+    """Crowded places, keys that repeat or are null, and points of one key at several places."""
+
+    def refused(*args, **kwargs):
+        raise AssertionError("all pairs were made")
+
+    rng = random.Random(19)
+    places = [(rng.choice([None, *range(300)]), *p, f"n{i % 7}") for i, p in enumerate(scattered(rng, 400, 37.78, -122.4, 0.01))]
+    points = [(rng.choice([None, 1, 2, 3]), *p) for p in scattered(rng, 12, 37.78, -122.4, 0.012)] + [(9, None, 1.0), (8, 10.0, 10.0)]
+    locations = spark.createDataFrame(places, "id long, latitude double, longitude double, name string")
+    asked = spark.createDataFrame(points, "point_id long, point_latitude double, point_longitude double")
+    wanted = []
+    for key in {p[0] for p in points}:
+        near = [(miles(*p[1:], *q[1:3]), q[0]) for p in points for q in places if p[0] == key and p[1] is not None]
+        near = sorted((x for x in near if x[0] <= 0.5), key=lambda x: (round(x[0], 9), x[1] is not None, x[1] or 0))[:4]
+        wanted += [(key, place, k, round(d, 6)) for k, (d, place) in enumerate(near, 1)]
+    monkeypatch.setattr(radius, "radius_join", refused)
+    got = radius.nearest_per_point(asked, locations, 0.5, 4, point_key="point_id", location_key="id")
+    rows = [(r.point_id, r.id, r.nearness, round(r.distance_miles, 6)) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted(wanted, key=str) and rows
+    assert {"name", "latitude", "point_latitude"} <= set(got.columns)
