@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from curbspark.operators import radius_join as radius
 from curbspark.operators import serving
@@ -131,3 +132,19 @@ def test_nearest_per_point_makes_no_pairs(spark, monkeypatch):
     rows = [(r.point_id, r.id, r.nearness, round(r.distance_miles, 6)) for r in got.collect()]
     assert sorted(rows, key=str) == sorted(wanted, key=str) and rows
     assert {"name", "latitude", "point_latitude"} <= set(got.columns)
+
+
+@pytest.mark.parametrize("lng", [-122.4, 180.0])
+def test_many_comparisons_are_shared_by_tasks(spark, lng):
+    """A crowded cell is cut into shares; every pair is still found once, and rows of one key stay apart."""
+    rng = random.Random(23)
+    places = [(i % 200, *p) for i, p in enumerate(scattered(rng, 300, 37.78, lng, 0.002) + scattered(rng, 60, 37.78, lng, 0.1))]
+    points = [(i, *p) for i, p in enumerate(scattered(rng, 20, 37.78, lng, 0.02))]
+    left = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    right = spark.createDataFrame(points, "point_id long, point_latitude double, point_longitude double")
+    got = radius_join(right, left, 0.5, location_key="id", pairs_per_task=100)
+    assert set(got.columns) == {*left.columns, *right.columns, "distance_miles"}
+    tasks = got.select("id", F.spark_partition_id().alias("task")).distinct().groupBy().agg(F.count_distinct("task")).first()[0]
+    assert tasks > 5
+    pairs = sorted((r.point_id, r.id) for r in got.collect())
+    assert pairs == sorted((i, q[0]) for i, *p in points for q in places if miles(*p, *q[1:]) <= 0.5)
