@@ -72,8 +72,8 @@ CUES = {
     "phone": r"phone|tel|call|fax|ruf|llam|appel|mobil",
 }
 CONTEXT_CHARS = 24
-#: Most different candidates that the trees are trained on, picked by hash of the text around them.
-MAX_TRAINING = 20_000
+#: Most different examples of each kind of row for a trial run; None, which every query uses, takes all of them.
+MAX_TRAINING: int | None = None
 TREES, DEPTH = 20, 3
 #: Precision on held-out candidates that a threshold has to keep.
 PRECISION = 0.98
@@ -243,17 +243,19 @@ def plausible() -> Column:
     )
 
 
+def _learned(different: DataFrame, *order: str) -> DataFrame:
+    return different if MAX_TRAINING is None else different.orderBy(*order).limit(MAX_TRAINING // 4)
+
+
 def examples(rows: DataFrame) -> DataFrame:
-    """kind, label, _pick and features of at most MAX_TRAINING examples.
+    """kind, label, _pick and features of all examples, in an order that does not depend on the run.
 
     Strict matches that stand are rewritten in the ways of the loose expressions (label 1), spoiled and then
     rewritten, and taken for another kind (label 0). With them go loose matches that overlap no standing one
     and fail the check of their kind whatever the separators (label 0). Copies of a passage count once.
     """
     context = ("before", "after", "_pick")
-    strict = (
-        rows.where("standing").select("kind", "match", *context).distinct().orderBy("_pick", "kind", "match", "before").limit(MAX_TRAINING // 4)
-    )
+    strict = _learned(rows.where("standing").select("kind", "match", *context).distinct(), "_pick", "kind", "match", "before")
     kind, match = F.col("kind"), F.col("match")
     # A place in the text that is not the one the split into training and held-out rows takes.
     way = F.pmod(F.shiftright("_pick", 8), F.lit(4)).cast("int")
@@ -272,15 +274,9 @@ def examples(rows: DataFrame) -> DataFrame:
     # Written first, so that the features do not repeat the rewriting in one expression.
     made = staged(made.select(*context, "_made.*").where("kind IS NOT NULL AND match IS NOT NULL"), "pii")
     made = made.withColumns(features("kind", "match", "before", "after")).select("kind", "label", "_pick", *FEATURES)
-    found = (
-        rows.where("loose AND NOT any_hit")
-        .where(~plausible())
-        .select("kind", F.lit(0.0).alias("label"), "_pick", *FEATURES)
-        .distinct()
-        .orderBy("_pick", *FEATURES)
-        .limit(MAX_TRAINING // 4)
-    )
-    return made.unionByName(found)
+    failed = rows.where("loose AND NOT any_hit").where(~plausible()).select("kind", F.lit(0.0).alias("label"), "_pick", *FEATURES)
+    found = _learned(failed.distinct(), "_pick", *FEATURES)
+    return made.unionByName(found).repartition("_pick").sortWithinPartitions("_pick", "kind", "label", *FEATURES)
 
 
 def candidates(docs: DataFrame) -> DataFrame:

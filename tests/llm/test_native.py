@@ -217,6 +217,13 @@ def test_pii_copies_do_not_fill_the_sample(spark, monkeypatch):
     assert pii.trained(pii.candidates(docs.unionByName(copies))) is not None
 
 
+def test_pii_learns_from_every_example(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('row ', 1000003 * (id + 7), ' of it') AS text")
+    rows = pii.candidates(docs)
+    different = rows.where("loose").select("_pick", *pii.FEATURES).distinct().count()
+    assert different > 5000 and pii.examples(rows).count() == different
+
+
 def test_pii_empty(spark, tmp_path):
     assert pii.op3_pii(spark, write_empty_tables(spark, tmp_path)).count() == 0
 
