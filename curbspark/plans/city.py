@@ -14,7 +14,7 @@ from curbspark.operators.diff import KINDS, change_counts, diff_tables
 from curbspark.operators.quality import verify_locations
 from curbspark.operators.upsert import CHANGE, upsert
 from curbspark.plans import ingest, normalize, shape
-from curbspark.sources.feed import limit_rows, select_datasets
+from curbspark.sources.feed import limit_rows, select_datasets, spread
 from curbspark.sources.registry import (
     DEFINITIONS,
     PROVIDER,
@@ -336,13 +336,15 @@ def run_import(
         chosen.append(name)
 
     def feed(name: str) -> DataFrame:
-        return limit_rows(feeds[name], limit)
+        return spread(limit_rows(feeds[name], limit))
 
     def written_rows(name: str, rows: DataFrame) -> None:
         written.append(rows.select(F.lit(_feed_source(name)).alias("id"), "last_row_count"))
 
     def keyed_write(name: str, rows: DataFrame, mapped: DataFrame) -> None:
         keys = ["source_id", "external_id"]
+        # Kept, as the write and the comparison both read them.
+        rows = stage.keep(rows, f"stage/{name}_rows")
         own = state[name].where(F.col("source_id") == _feed_source(name))
         offers[name] = Offer(
             DEFINITIONS[name][2], f"city_parking_{name}", tuple(keys), own, rows, mapped, F.col("skip_reason").isNotNull()
@@ -392,7 +394,7 @@ def run_import(
         mapped = normalize.map_locations(normalize.with_source(state["meters"], state["sources"]), at)
         mapped = stage.keep(mapped, "stage/locations")
         results["counts.locations"] = skip_counts(mapped, normalize.NORMALIZE_SKIPS)
-        rows = normalize.location_rows(mapped)
+        rows = stage.keep(normalize.location_rows(mapped), "stage/locations_rows")
         keys = ["source_type", "source_id"]
         offers["locations"] = Offer(
             DEFINITIONS["meters"][2],

@@ -74,6 +74,15 @@ def limit_rows(feed: DataFrame, limit: int | None) -> DataFrame:
     return feed if limit is None else feed.orderBy("feed_pos").limit(limit)
 
 
+def spread(feed: DataFrame) -> DataFrame:
+    """The same rows dealt to all tasks by size.
+
+    Reading a record is cheap and parsing it is not: a feed of millions of records
+    can lie in a file so small that one task would read and parse them all.
+    """
+    return feed.hint("rebalance")
+
+
 def select_datasets(names: Iterable[str] | None = None) -> list[str]:
     """The named datasets in import order, all of them by default."""
     if names is None:
