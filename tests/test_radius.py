@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from curbspark.functions import geo
 from curbspark.operators import radius_join as radius
 from curbspark.operators import serving
 from curbspark.operators.radius_join import nearest_per_point, radius_join
@@ -148,3 +149,58 @@ def test_many_comparisons_are_shared_by_tasks(spark, lng):
     assert tasks > 5
     pairs = sorted((r.point_id, r.id) for r in got.collect())
     assert pairs == sorted((i, q[0]) for i, *p in points for q in places if miles(*p, *q[1:]) <= 0.5)
+
+
+def _exchanges(node):
+    """Exchanges of rows in a plan that has run, those of its stages included."""
+    kind = node.getClass().getSimpleName()
+    if kind == "ShuffleExchangeExec":
+        yield node
+    if kind == "AdaptiveSparkPlanExec":
+        yield from _exchanges(node.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        yield from _exchanges(node.plan())
+    for i in range(node.children().size()):
+        yield from _exchanges(node.children().apply(i))
+
+
+def test_crowded_cells_do_not_multiply_the_exchange(spark):
+    """All rows in one place: the blocks of the pairs copy the rows of each side a few times only."""
+    rng = random.Random(29)
+    places = [(i, *p) for i, p in enumerate(scattered(rng, 300, 37.78, -122.4, 0.0005))]
+    points = [(i, *p) for i, p in enumerate(scattered(rng, 200, 37.78, -122.4, 0.0005))]
+    left = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    right = spark.createDataFrame(points, "point_id long, point_latitude double, point_longitude double")
+    got = radius_join(right, left, 0.5, location_key="id", pairs_per_task=100)
+    assert sorted((r.point_id, r.id) for r in got.collect()) == [(i, j) for i in range(200) for j in range(300)]
+    written = [n.metrics().apply("shuffleRecordsWritten").value() for n in _exchanges(got._jdf.queryExecution().executedPlan())]
+    # A point reaches 25 cells of the finer grid; the exchange holds all rows twice at most.
+    assert 500 < max(written) <= 2 * (300 + 25 * 200)
+
+
+@pytest.mark.parametrize(
+    "lat, lng, spread, radius",
+    [(37.78, -122.4, 0.05, 0.5), (0.0, 180.0, 0.5, 10.0), (89.6, 10.0, 0.4, 20.0), (-89.9, 0.0, 0.1, 5.0), (60.0, -179.9, 0.4, 8.0), (37.0, 10.0, 2.0, 200.0), (5.0, 20.0, 85.0, 5000.0)],
+)
+def test_blocks_equal_brute_force(spark, lat, lng, spread, radius):
+    """Also keys that repeat or are null, equal rows, and points with columns that have no hash."""
+    rng = random.Random(31)
+    places = [(rng.choice([None, *range(40)]), *p) for p in scattered(rng, 150, lat, lng, spread) + [(lat, lng)] * 60]
+    points = [(rng.choice([None, *range(9)]), *p, {"k": 1}) for p in scattered(rng, 25, lat, lng, spread) + [(lat, lng)] * 30]
+    left = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    right = spark.createDataFrame(points, "point_id long, point_latitude double, point_longitude double, more map<string, int>")
+    got = radius_join(right, left, radius, location_key="id", pairs_per_task=50)
+    assert got.columns == ["id", "latitude", "longitude", "point_id", "point_latitude", "point_longitude", "more", "distance_miles"]
+    pairs = [(r.point_id, r.id, round(r.distance_miles, 6)) for r in got.collect()]
+    wanted = [(p[0], q[0], round(miles(*p[1:3], *q[1:]), 6)) for p in points for q in places if miles(*p[1:3], *q[1:]) <= radius]
+    assert sorted(pairs, key=str) == sorted(wanted, key=str)
+
+
+def test_rounded_miles_are_those_of_round(spark):
+    rng = random.Random(37)
+    values = [k / 2e6 for k in range(200)] + [math.nextafter(k / 2e6, s) for k in range(200) for s in (0, 9)]
+    values += [rng.uniform(0, 0.5) for _ in range(3000)] + [rng.uniform(0, 13000) for _ in range(3000)]
+    values += [0.0, -0.0, -0.25, -3.1234565, 999999.9999995, 1e6, 1e6 + 0.1234565, 1e15, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select("x", geo.rounded_miles(F.col("x")).alias("got"), F.round("x", 6).alias("wanted")).collect()
+    assert [r.x for r in rows if repr(r.got) != repr(r.wanted)] == []
